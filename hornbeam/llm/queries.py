@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hornbeam.llm import common, mixing
+from hornbeam.llm import common, mixing, token_count, token_io, topk
 
 
 def op3_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,5 +37,38 @@ SELECT doc_id, size, source_size, target, CAST(sum(CASE WHEN upto <= budget THEN
 FROM q GROUP BY doc_id, size, source_size, target
 """
 
-QUERIES = {"op3_fair_mix": op3_fair_mix}
-ORACLE = {"op3_fair_mix": OP3_SQL}
+def op6_va_file_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(common.read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+OP6_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_io.encode_corpus(common.read(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(common.read(spark, sf_dir, "documents"), tokenizer_path())
+
+
+QUERIES = {
+    "op3_fair_mix": op3_fair_mix,
+    "op6_va_file_topk": op6_va_file_topk,
+    "op9_token_files": op9_token_files,
+    "op10_token_counts": op10_token_counts,
+}
+ORACLE = {"op3_fair_mix": OP3_SQL, "op6_va_file_topk": OP6_SQL}
