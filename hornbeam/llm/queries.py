@@ -5,7 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hornbeam.llm import common, mixing, token_count, token_io, topk
+from hornbeam.llm import common, decontam, langid, mixing, neardup, token_count, token_io, topk
+
+
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark"))
+
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
+_RUNS = "list_transform(range(1, greatest(len(w) - {k} + 1, 0) + 1), lambda i: array_to_string(list_slice(w, i, i + {k} - 1), ' '))"
+
+OP1_SQL = rf"""
+WITH i AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
+iu AS (SELECT DISTINCT item_id, least(5, len(w)) AS k, unnest({_RUNS.format(k="least(5, len(w))")}) AS s FROM i WHERE len(w) > 0),
+n AS (SELECT item_id, k, count(*) AS n_item FROM iu GROUP BY item_id, k),
+d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL),
+du AS (SELECT DISTINCT doc_id, k, unnest({_RUNS.format(k="k")}) AS s FROM d, (SELECT DISTINCT k FROM n)),
+x AS (SELECT doc_id, item_id, count(*) AS n_shared FROM du JOIN iu USING (k, s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment FROM x JOIN n USING (item_id)
+WHERE 100 * n_shared >= 75 * n_item
+"""
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs))
+
+
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(common.read(spark, sf_dir, "documents"))
 
 
 def op3_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,9 +95,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
+    "op2_language": op2_language,
+    "op4_near_duplicates": op4_near_duplicates,
     "op3_fair_mix": op3_fair_mix,
     "op6_va_file_topk": op6_va_file_topk,
     "op9_token_files": op9_token_files,
     "op10_token_counts": op10_token_counts,
 }
-ORACLE = {"op3_fair_mix": OP3_SQL, "op6_va_file_topk": OP6_SQL}
+ORACLE = {"op1_decontaminate": OP1_SQL, "op3_fair_mix": OP3_SQL, "op6_va_file_topk": OP6_SQL}
