@@ -6,9 +6,10 @@ fits, else 32), `part-NNNNN.offsets` (n + 1 unsigned 64-bit places, within the p
 before it, a prefix sum over the parts' totals. Parts are ranges of doc_id and ascend, and so do rows in a part.
 A part is written under another name and then renamed, so an attempt that is repeated leaves one whole file.
 
-A text is cut before each white space that follows something else. No piece of the byte-level pattern reaches over
-such a place, so the ids of the cuts, each of which the library encodes once and a bounded cache keeps, are the ids
-of the whole text.
+A text is cut before each white space that follows something else, and after each run of letters that begins a word
+if an ASCII sign or digit follows. No piece of the byte-level pattern reaches over such places (a text that has "<|"
+is cut at white space alone, as special tokens may begin there), so the ids of the cuts, each of which the library
+encodes once and a bounded cache keeps, are the ids of the whole text.
 
 Defined cases: a null text is empty and has the end id alone; a null doc_id sorts first and is kept as the least
 64-bit integer in the file and read as null; rows that repeat a doc_id are written each, in order of their text's
@@ -22,6 +23,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 from urllib.parse import urlparse
 
 import numpy as np
@@ -33,13 +35,27 @@ from pyspark.sql import functions as F
 from hornbeam.llm import common
 
 END, NO_DOC = 0, -(2**63)
-CACHED, AT_ONCE = 300_000, 2_000_000
+CACHED, AT_ONCE = 1_000_000, 2_000_000
 #: The characters of the Unicode property White_Space.
 WHITE = "\t-\r \x85\xa0  -     　"
-_CUTS = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+_LETTERS, _SIGNS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-@\[-`{-~"
+_COARSE = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+_CUTS = re.compile(f"[{WHITE}]*(?:[{_LETTERS}]+(?![^{WHITE}{_SIGNS}])|[^{WHITE}]+)|[{WHITE}]+")
 _LOADED: dict[str, Encoder] = {}
 
 
+class _Numbers(dict):
+    """Numbers for strings in order of first use; new: those not yet encoded."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, s: str) -> int:
+        n = self[s] = len(self)
+        self.new.append(s)
+        return n
+
+
 class Encoder:
     """A tokenizer file of the tokenizers library, with the ids of texts seen before kept in flat arrays."""
 
@@ -58,37 +74,37 @@ class Encoder:
         return _LOADED[path]
 
     def clear(self) -> None:
-        self.place = {}
-        self.ids, self.starts, self.used, self.n = np.zeros(1 << 16, self.dtype), np.zeros(1 << 12, np.int64), 0, 0
+        self.place = _Numbers()
+        self.ids, self.starts, self.used = np.zeros(1 << 16, self.dtype), np.zeros(1 << 12, np.int64), 0
 
     def _keep(self, new: list[str]) -> None:
+        """The ids of new cuts, the last that were numbered."""
         rows = [x.ids for x in self.library.encode_batch_fast(new, add_special_tokens=False)]
-        flat = np.fromiter((i for r in rows for i in r), self.dtype)
-        while self.used + len(flat) > len(self.ids):
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+        total, n = self.used + int(sizes.sum()), len(self.place)
+        while total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while self.n + len(new) + 1 > len(self.starts):
+        while n + 1 > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.starts[self.n + 1 : self.n + len(new) + 1] = self.used + np.cumsum([len(r) for r in rows])
-        self.place.update(zip(new, range(self.n, self.n + len(new)), strict=True))
-        self.used, self.n = self.used + len(flat), self.n + len(new)
+        self.ids[self.used : total] = np.fromiter(chain.from_iterable(rows), self.dtype, total - self.used)
+        self.starts[n - len(new) + 1 : n + 1] = self.used + np.cumsum(sizes)
+        self.used = total
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has, its end id included."""
         if len(self.place) > CACHED:
             self.clear()
-        cuts = [_CUTS.findall(x) if x else [] for x in texts]
-        get = self.place.get
-        at = [get(s, -1) for x in cuts for s in x]
-        if -1 in at:
-            self._keep(list({s: 0 for x in cuts for s in x if s not in self.place}))
-            get = self.place.get
-            at = [get(s) for x in cuts for s in x]
-        at = np.array(at, np.int64)
-        per_cut, first = self.starts[at + 1] - self.starts[at], self.starts[at]
+        cuts = [(_COARSE if "<|" in x else _CUTS).findall(x) if x else [] for x in texts]
+        per_text = np.fromiter(map(len, cuts), np.int64, len(cuts))
+        at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(cuts)), np.int64, int(per_text.sum()))
+        if self.place.new:
+            self._keep(self.place.new)
+            self.place.new = []
+        first = self.starts[at]
+        per_cut = self.starts[at + 1] - first
         upto = np.concatenate([[0], np.cumsum(per_cut)])
-        ids = self.ids[np.repeat(first - upto[:-1], per_cut) + np.arange(upto[-1])] if len(at) else np.zeros(0, self.dtype)
-        ends = upto[np.cumsum([len(x) for x in cuts], dtype=np.int64)] if texts else np.zeros(0, np.int64)
+        ids = self.ids[np.repeat(first - upto[:-1], per_cut) + np.arange(upto[-1])]
+        ends = upto[np.cumsum(per_text)]
         return np.insert(ids, ends, END), np.diff(ends, prepend=0) + 1
 
 
