@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hornbeam.llm import common, decontam, langid, mixing, neardup, token_count, token_io, topk
+from hornbeam.llm import common, decontam, html_extract, langid, licenses, mixing, neardup, quality, token_count, token_io, topk
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +66,20 @@ SELECT doc_id, size, source_size, target, CAST(sum(CASE WHEN upto <= budget THEN
 FROM q GROUP BY doc_id, size, source_size, target
 """
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(common.read(spark, sf_dir, "pages"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, common.read(spark, sf_dir, "labels"))
+    return quality.score(docs, model).drop("text")
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(common.read(spark, sf_dir, "documents"))
+
+
 def op6_va_file_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(common.read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -99,7 +113,10 @@ QUERIES = {
     "op2_language": op2_language,
     "op4_near_duplicates": op4_near_duplicates,
     "op3_fair_mix": op3_fair_mix,
+    "op5_main_text": op5_main_text,
     "op6_va_file_topk": op6_va_file_topk,
+    "op7_quality": op7_quality,
+    "op8_licenses": op8_licenses,
     "op9_token_files": op9_token_files,
     "op10_token_counts": op10_token_counts,
 }
