@@ -92,11 +92,23 @@ def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries:
             yield own, best_ids, best
 
 
+def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together to BLOCK rows or more, but for the last."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= BLOCK:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _scan(queries: dict[int, tuple[np.ndarray, np.ndarray]], k: int, scale: int) -> Callable:
     schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.int64())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        for whole in joined(batches):
             for begin in range(0, len(whole), BLOCK):
                 for n, (ids, vectors) in quantised(whole.slice(begin, BLOCK), scale).items():
                     found = list(search(ids, vectors, *queries[n], k)) if n in queries else []
