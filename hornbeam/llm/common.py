@@ -52,10 +52,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/hornbeam/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: computed once, and its lineage is cut there."""
+def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """df as a table in the shared folder: computed once, and its lineage is cut there. narrow: for tables of ids, which
+    are written by an eighth of the shuffle's tasks, so that there are not as many files as tasks."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    if narrow:
+        df = df.coalesce(max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.hornbeam_path = path
