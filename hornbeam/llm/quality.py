@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-PASSAGE, ROWS, BAG, HIDDEN, GATE, STEPS, SEED, THRESHOLD, AT_ONCE = 512, 1200, 12, 24, 16, 300, 7, 0.7, 2_000_000
+PASSAGE, ROWS, BAG, HIDDEN, GATE, STEPS, SEED, THRESHOLD, AT_ONCE = 512, 1200, 12, 24, 16, 300, 7, 0.7, 1_000_000
 _SIGNS = [c for c in range(33, 127) if not chr(c).isalnum()]
 _FINE = np.full(256, 5, np.uint8)  # control characters and what is not ASCII
 _FINE[97:123], _FINE[65:91], _FINE[48:58], _FINE[32], _FINE[10] = 0, 1, 2, 3, 4

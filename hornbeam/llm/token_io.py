@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from hornbeam.llm import common
 
 END, NO_DOC = 0, -(2**63)
-CACHED, AT_ONCE = 1_000_000, 2_000_000
+CACHED, AT_ONCE = 500_000, 2_000_000
 #: The characters of the Unicode property White_Space.
 WHITE = "\t-\r \x85\xa0  -     　"
 _LETTERS, _SIGNS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-@\[-`{-~"
