@@ -6,24 +6,25 @@ import json
 from dataclasses import dataclass, fields
 
 
+#: The keys of a configuration.
 @dataclass
 class Config:
     dataset_name: str = ""
+    graph: str = ""
     train: str = ""
     valid: str = ""
     test: str = ""
-    entity_types: str = ""
-    ontology: str = ""
-    full_graph: str = ""
+    test_debug: str = ""
+    schema: str = ""
+    types_file: str = ""
     anyburl_rules: str = ""
-    anyburl_rules_cp: str = ""
+    anyburl_rules_CP: str = ""  # noqa: N815
     amie_rules: str = ""
-    amie_rules_cp: str = ""
-    output_dir: str = ""
+    amie_rules_CP: str = ""  # noqa: N815
+    predictions_dir: str = ""
+    def_uri: str = ""
     materialize_rules: str = "full"
     grounding_type: str = "both"
-    new_triples: str = ""
-    log: str = ""
 
     def engines(self) -> list[str]:
         kind = self.grounding_type.lower()
@@ -33,8 +34,8 @@ class Config:
     def rule_sets(self) -> dict[str, tuple[str, bool]]:
         """Name, path and whether rules are patterns, of the sets that materialize_rules selects and that are given."""
         kind = self.materialize_rules.lower()
-        named = {"ALL": (self.anyburl_rules, False), "CP": (self.anyburl_rules_cp, False), "AMIE": (self.amie_rules, True), "AMIE_CP": (self.amie_rules_cp, True)}
-        wanted = {"anyburl": ("ALL", "CP"), "amie": ("AMIE", "AMIE_CP")}.get(kind, tuple(named))
+        named = {"ALL": (self.anyburl_rules, False), "CP": (self.anyburl_rules_CP, False), "AMIE": (self.amie_rules, True), "AMIE_CP": (self.amie_rules_CP, True)}
+        wanted = {"anyburl": ("ALL", "CP"), "amie": ("AMIE", "AMIE_CP")}.get(kind, tuple(named))  # "full", "both": all
         return {k: v for k, v in named.items() if k in wanted and v[0]}
 
 
@@ -42,7 +43,7 @@ def load(path: str) -> Config:
     with open(path, encoding="utf-8") as f:
         given = json.load(f)
     known = {x.name for x in fields(Config)}
-    return Config(**{k.lower().replace("-", "_"): str(v) for k, v in given.items() if k.lower().replace("-", "_") in known})
+    return Config(**{k: str(v) for k, v in given.items() if k in known})
 
 
 def percentages(text: str | None, default: tuple[float, ...] = ()) -> list[float]:
