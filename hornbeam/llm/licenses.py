@@ -1,10 +1,10 @@
 """License notices in documents, by conditional compression.
 
 Blocks of text that may hold a notice are compressed alone and with each template as a zstandard raw-content
-dictionary. The share of its size that a block loses ranks the templates; the best CONFIRM of them that save at least
-LEAST are confirmed by their exact wording: the template's words are aligned with the block's, and words that are
-missing, or foreign within the aligned span, must be at most ALLOWED of the template's words, with no difference in
-words that tell licenses apart (those with a digit, and KEYS).
+dictionary; the share of its size that a block loses is reported as reduction. It decides nothing, as a short notice
+saves next to nothing of a long block: every template is confirmed by its wording. The template's words are aligned
+with the block's, and words that are missing, or foreign within the aligned span, must be at most ALLOWED of the
+template's words, with no difference in words that tell licenses apart (those with a digit, and KEYS).
 
 Candidate blocks: each line with one of TRIGGERS, and each paragraph (text between blank lines) with one or, if it has
 more than WINDOW words, windows of WINDOW words that overlap by half; a license is counted by line, else by paragraph. Whole texts are
@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, CONFIRM, LEAST, ALLOWED, LEVEL = 400, 4, 0.2, 0.1, 3
+WINDOW, ALLOWED, LEVEL = 400, 0.1, 3
 #: Usual wordings of notices, by SPDX identifier or a name of our own in lower case.
 TEMPLATES = [
     ("all-rights-reserved", "All rights reserved."),
@@ -107,9 +107,10 @@ class Scanner:
             raw = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.templates.append((name, words(text), zstandard.ZstdCompressor(dict_data=raw, **quiet)))
 
-    def differences(self, template: list[str], block: list[str]) -> int | None:
-        """Words by which the block's wording of the template differs; None if a telling word does."""
-        parts = [m for m in SequenceMatcher(None, template, block, autojunk=False).get_matching_blocks() if m.size]
+    def differences(self, template: list[str], block: list[str], matcher: SequenceMatcher) -> int | None:
+        """Words by which the block's wording of the template differs; None if a telling word does. matcher has the block."""
+        matcher.set_seq1(template)
+        parts = [m for m in matcher.get_matching_blocks() if m.size]
         if not parts:
             return None
         # a stray word far from the rest of the wording is no part of it
@@ -126,19 +127,24 @@ class Scanner:
 
     def confirmed(self, block: str) -> dict[str, tuple[float, int]]:
         """The licenses whose wording the block has, with size reduction and differing words."""
-        data = block.encode("utf-8", "surrogatepass")
-        alone = len(self.alone.compress(data))
-        saved = sorted(((1 - len(c.compress(data)) / alone, i) for i, (_, _, c) in enumerate(self.templates)), key=lambda x: (-x[0], x[1]))
         own = words(block)
+        there, matcher = set(own), SequenceMatcher(None, (), own, autojunk=False)
+        found = []
+        for i, (_, template, _) in enumerate(self.templates):
+            # words that the block has nowhere are missing in every alignment
+            if sum(w not in there for w in template) <= ALLOWED * len(template):
+                n = self.differences(template, own, matcher)
+                if n is not None and n <= ALLOWED * len(template):
+                    found.append((i, n))
         out: dict[str, tuple[float, int]] = {}
-        for gain, i in saved[:CONFIRM]:
-            name, template, _ = self.templates[i]
-            # a template fills a small part of a large block: what it saves is judged against its own length too
-            if gain < LEAST * min(1, len(template) / max(1, len(own))):
-                break
-            n = self.differences(template, own)
-            if n is not None and n <= ALLOWED * len(template) and (name not in out or n < out[name][1]):
-                out[name] = (gain, n)
+        if found:
+            data = block.encode("utf-8", "surrogatepass")
+            alone = len(self.alone.compress(data))
+            gains = sorted(((1 - len(self.templates[i][2].compress(data)) / alone, i, n) for i, n in found), key=lambda x: (-x[0], x[1]))
+            for gain, i, n in gains:
+                name = self.templates[i][0]
+                if name not in out or n < out[name][1]:
+                    out[name] = (gain, n)
         return out
 
     def scan(self, text: str | None) -> list[tuple[str, float, int]]:

@@ -298,6 +298,19 @@ def test_licenses_are_the_planted_lines(spark):
     assert want and {(r["doc_id"], r["license"]) for r in licenses.scan(docs).collect()} == want
 
 
+def test_licenses_short_notices_in_long_blocks():
+    """A notice counts however little it saves of its block, and however many others stand there."""
+    scanner, rng = licenses.Scanner(licenses.TEMPLATES), np.random.default_rng(8)
+    prose = PROSE.split() + [f"{a}{b}" for a in PROSE.split() for b in ("s", "ing", "less")]
+    for _ in range(100):
+        line = [str(w) for w in rng.choice(prose, 300)]
+        for name, notice in (("all-rights-reserved", "All rights reserved."), ("CC0-1.0", "Licensed under CC0 1.0."), ("CC-BY-4.0", "Licensed under CC BY 4.0.")):
+            at = int(rng.integers(0, 300))
+            assert [(x[0], x[2]) for x in scanner.scan(" ".join([*line[:at], notice, *line[at:]]))] == [(name, 0)]
+    six = [x for x in licenses.TEMPLATES if x[0] in ("all-rights-reserved", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "AGPL-3.0", "MPL-2.0")]
+    assert sorted(x[0] for x in scanner.scan(" ".join(t for _, t in six))) == sorted(n for n, _ in six)
+
+
 # 9 and 10 tokens
 
 
