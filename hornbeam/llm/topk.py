@@ -75,11 +75,13 @@ def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries:
     lower, upper = file.bounds(queries)
     slack = 1e-9 * np.abs(upper).max(initial=1.0) + 1
     for j, own in enumerate(query_ids):
-        kth = min(k + 1, len(ids))  # the query itself may be among them
-        certain = np.partition(lower[j], len(ids) - kth)[len(ids) - kth] - slack
-        order = np.flatnonzero(upper[j] >= certain)
+        others = np.flatnonzero(ids != own)  # of rows with the query's id there may be any number
+        if not len(others):
+            continue
+        kth = min(k, len(others))
+        certain = np.partition(lower[j][others], len(others) - kth)[len(others) - kth] - slack
+        order = others[upper[j][others] >= certain]
         order = order[np.lexsort((ids[order], -upper[j][order]))]
-        order = order[ids[order] != own]
         best_ids, best = np.zeros(0, np.int64), np.zeros(0)
         for at in range(0, len(order), STEP):
             if len(best) >= k and upper[j][order[at]] + slack < best[k - 1]:

@@ -261,6 +261,19 @@ def test_top_k_is_exact(spark):
     assert topk.top_k(table.limit(0), F.lit(True)).count() == 0 and topk.top_k(table, F.lit(False)).count() == 0
 
 
+def test_top_k_of_a_repeated_query_id():
+    """Rows with the query's own id crowd nothing out, and all other rows may be theirs."""
+    rng = np.random.default_rng(4)
+    vectors = np.floor(1024 * rng.normal(0, 1, (300, 64)))
+    vectors[:20] = vectors[0]
+    ids = np.maximum(np.arange(300) - 19, 0)
+    (own, best_ids, best), = topk.search(ids, vectors, np.array([0]), vectors[:1], 10)
+    scores = vectors[20:] @ vectors[0]
+    want = sorted(zip(-scores, ids[20:], strict=True))[:10]
+    assert own == 0 and list(zip(-best, best_ids, strict=True)) == want
+    assert not list(topk.search(ids[:20], vectors[:20], np.array([0]), vectors[:1], 10))
+
+
 # 7 quality
 
 
