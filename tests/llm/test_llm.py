@@ -218,6 +218,29 @@ def test_near_duplicates_branch_and_chain(spark, monkeypatch):
     assert 6 <= len(set(want.values())) < len(rows)
 
 
+def test_near_duplicates_trees_for_the_depth(spark, monkeypatch):
+    """Where nodes branch deeper than the first trees reach, further trees find what these miss."""
+    assert [neardup.enough(d, 75) for d in (2, 3, 4, 12)] == [15, 21, 27, 118] and neardup.missed(12, 20, 75) > 0.07
+    grown = []
+    whole = neardup._descended
+    monkeypatch.setattr(neardup, "_descended", lambda *x: grown.append(x[5]) or whole(*x))
+    rng = np.random.default_rng(6)
+    common_part = [f"c{x}" for x in range(90)]
+    rows = []
+    for g in range(4):  # pairs just linked, in a family most of whose shingles are the same
+        own = [f"w{g}_{x}" for x in range(45)]
+        for k in range(2):
+            text = common_part + own
+            for at in rng.integers(90, 135, 2):
+                text[at] = f"v{g}_{k}_{at}"
+            rows.append((len(rows), " ".join(text)))
+    monkeypatch.setattr(neardup, "NODE", 2)
+    monkeypatch.setattr(neardup, "DEPTH", 3)
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(table).collect()} == brute_components(rows)
+    assert grown == [range(20), range(20, 21)]
+
+
 # 5 main text
 
 
