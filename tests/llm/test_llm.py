@@ -200,6 +200,15 @@ def test_near_duplicates_are_brute_force(spark, docs, real):
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_differing_texts_under_one_id(spark):
+    """Every text of an id counts: 2 is near the first of 5, 9 near the second, 3 equal to the third, 7 has one without words."""
+    texts = [" ".join(f"{c}{x}" for x in range(60)) for c in "abcd"]
+    rows = [(5, texts[0]), (5, texts[1]), (5, texts[2]), (2, texts[0] + " x"), (9, texts[1] + " y"), (3, texts[2]), (7, texts[3]), (7, None), (8, texts[3] + " z"), (7, texts[3]), (11, "alone here")]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted((i, len(shingles(t)), brute_components(rows)[i]) for i, t in rows)
+    assert {r["component_id"] for r in got} == {2, 7, 11} and all(r["kept"] == (r["component_id"] == r["doc_id"]) for r in got)
+
+
 def test_near_duplicates_branch_and_chain(spark, monkeypatch):
     """Small nodes force branching; chains of links join documents that are not alike themselves."""
     rng = np.random.default_rng(5)
