@@ -273,6 +273,13 @@ def test_region_without_semantic_tags(spark):
     assert all(r["text"] == f"{'word ' * 60}{r['page_id']}\nmore {r['page_id']}" for r in html_extract.extract(table).collect())
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    page = "<html><body><div class=a><p>one text</p><p>two text</p></div><p>three</p></body></html>"
+    rows = [(i, f"http://h.example/{i}", page) for i in range(20)] + [(100 + i, None, page) for i in range(9)]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 29 and {(r["text"], r["n_chars"]) for r in got} == {("one text\ntwo text\nthree", 23)}
+
+
 # 6 exact top-k
 
 
