@@ -12,8 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-_BASE = np.uint64(0xD6E8FEB86659FD93)  # odd, so it has an inverse modulo 2**64
-_BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
+_BASE = np.uint64(0xD6E8FEB86659FD93)
 SHINGLE = 5
 
 
@@ -55,11 +54,11 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """df as a table in the shared folder: computed once, and its lineage is cut there. narrow: for tables of ids, which
-    are written by an eighth of the shuffle's tasks, so that there are not as many files as tasks."""
+    are dealt to an eighth of the shuffle's tasks once they are made, so that there are not as many files as tasks."""
     spark = df.sparkSession
     path = new_path(spark, name)
     if narrow:
-        df = df.coalesce(max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+        df = df.repartition(max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.hornbeam_path = path
@@ -89,35 +88,25 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-_BYTE_CODES = mixed(np.arange(1, 257, dtype=np.uint64) * GOLDEN)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_POWERS = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        for i, b in enumerate((_BASE, _BASE_INVERSE)):
-            steps = np.full(n, b, dtype=np.uint64)
-            steps[0] = 1
-            _POWERS[i] = np.cumprod(steps, dtype=np.uint64)
-    return _POWERS[0][:n], _POWERS[1][:n]
 
 
 def word_hashes(data: bytes) -> np.ndarray:
-    """64-bit hashes of the words `[^\\x20\\x09-\\x0D]+` of UTF-8 bytes with A-Z lower-cased, in order."""
+    """64-bit hashes of the words `[^\\x20\\x09-\\x0D]+` of UTF-8 bytes with A-Z lower-cased, in order: a sum of one random
+    value for each byte and its place in the word, so that no algebra of the bytes makes words collide."""
     raw = np.frombuffer(data, dtype=np.uint8)
-    if not len(raw):
-        return np.zeros(0, dtype=np.uint64)
     gap = _SPACE[raw]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], gap, [True])).view(np.int8)))
-    start, end = edge[0::2], edge[1::2]
-    up, down = _powers(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE_CODES[_LOWER[raw]] * up[: len(raw)], dtype=np.uint64, out=total[1:])
-    return mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * GOLDEN)
+    start, size = edge[0::2], edge[1::2] - edge[0::2]
+    if not len(start):
+        return np.zeros(0, dtype=np.uint64)
+    first = np.cumsum(size) - size
+    place = (np.arange(int(size.sum())) - np.repeat(first, size)).astype(np.uint64)
+    values = mixed(_LOWER[raw[~gap]].astype(np.uint64) * _BASE + (place + np.uint64(1)) * GOLDEN)
+    return mixed(np.add.reduceat(values, first) + size.astype(np.uint64) * GOLDEN)
 
 
 def combined(words: np.ndarray, k: int) -> np.ndarray:

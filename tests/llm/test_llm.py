@@ -231,8 +231,8 @@ def test_near_duplicates_trees_for_the_depth(spark, monkeypatch):
     """Where nodes branch deeper than the first trees reach, further trees find what these miss."""
     assert [neardup.enough(d, 75) for d in (2, 3, 4, 12)] == [15, 21, 27, 118] and neardup.missed(12, 20, 75) > 0.07
     grown = []
-    whole = neardup._descended
-    monkeypatch.setattr(neardup, "_descended", lambda *x: grown.append(x[5]) or whole(*x))
+    whole = neardup.Join.descend
+    monkeypatch.setattr(neardup.Join, "descend", lambda self, some, which: grown.append(which) or whole(self, some, which))
     rng = np.random.default_rng(6)
     common_part = [f"c{x}" for x in range(90)]
     rows = []
@@ -244,10 +244,27 @@ def test_near_duplicates_trees_for_the_depth(spark, monkeypatch):
                 text[at] = f"v{g}_{k}_{at}"
             rows.append((len(rows), " ".join(text)))
     monkeypatch.setattr(neardup, "NODE", 2)
-    monkeypatch.setattr(neardup, "DEPTH", 3)
+    monkeypatch.setattr(neardup, "DEPTH", 4)
     table = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(table).collect()} == brute_components(rows)
-    assert grown == [range(20), range(20, 21)]
+    assert grown == [range(21), range(21, 27)]
+
+
+def test_forests_and_crossing_pairs_of_blocks():
+    """A forest has an edge fewer than rows for each group of admitted pairs; crossing pairs are all between components."""
+    import pyarrow as pa
+
+    base = [np.array([f"{g}.{x}" for x in range(200)]) for g in range(2)]
+    texts = [" ".join(np.concatenate([b[: 200 - k], [f"x{g}.{k}"] * k])) for g, b in enumerate(base) for k in range(4)]
+    sets = [common.shingle_set(t) for t in texts]
+    rows = pa.RecordBatch.from_pydict({"block": [7] * 8, "uid": list(range(8)), "root": [0, 1, 2, 3, 4, 5, 6, 6], "n": [len(x) for x in sets], "sketch": [neardup.sketch(x) for x in sets]})
+    block = neardup.Block(rows, 75)
+    forest = block.forest(0, 8)
+    assert len(forest) == 5 and all(a // 4 == b // 4 for a, b in forest)
+    assert sorted(block.crossing(0, 8)) == [(a, b) for a in range(8) for b in range(a + 1, 8) if a // 4 == b // 4 and (a, b) != (6, 7)]
+    pieces = [rows.slice(0, 3), rows.slice(3, 5), pa.RecordBatch.from_pydict({c: rows.column(c).slice(0, 2) if c != "block" else pa.array([9, 9]) for c in rows.schema.names})]
+    found = [p for b in neardup._compared(75, False)(iter(pieces)) for p in zip(*b.to_pydict().values(), strict=True)]
+    assert len(found) == 6 and found[-1] == (9, 0, 1)
 
 
 # 5 main text
