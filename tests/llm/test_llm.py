@@ -250,21 +250,22 @@ def test_near_duplicates_trees_for_the_depth(spark, monkeypatch):
     assert grown == [range(21), range(21, 27)]
 
 
-def test_forests_and_crossing_pairs_of_blocks():
-    """A forest has an edge fewer than rows for each group of admitted pairs; crossing pairs are all between components."""
+def test_forests_of_blocks():
+    """A forest has an edge fewer than rows for each group of pairs, by sketches and by full sets, however batches cut the blocks."""
     import pyarrow as pa
 
     base = [np.array([f"{g}.{x}" for x in range(200)]) for g in range(2)]
     texts = [" ".join(np.concatenate([b[: 200 - k], [f"x{g}.{k}"] * k])) for g, b in enumerate(base) for k in range(4)]
     sets = [common.shingle_set(t) for t in texts]
-    rows = pa.RecordBatch.from_pydict({"block": [7] * 8, "uid": list(range(8)), "root": [0, 1, 2, 3, 4, 5, 6, 6], "n": [len(x) for x in sets], "sketch": [neardup.sketch(x) for x in sets]})
-    block = neardup.Block(rows, 75)
-    forest = block.forest(0, 8)
-    assert len(forest) == 5 and all(a // 4 == b // 4 for a, b in forest)
-    assert sorted(block.crossing(0, 8)) == [(a, b) for a in range(8) for b in range(a + 1, 8) if a // 4 == b // 4 and (a, b) != (6, 7)]
+    rows = pa.RecordBatch.from_pydict({"block": [7] * 8, "uid": list(range(8)), "root": [0, 1, 2, 3, 4, 5, 6, 6], "n": [len(x) for x in sets], "sketch": [neardup.sketch(x) for x in sets], "hashes": [x.view(np.int64) for x in sets]})
     pieces = [rows.slice(0, 3), rows.slice(3, 5), pa.RecordBatch.from_pydict({c: rows.column(c).slice(0, 2) if c != "block" else pa.array([9, 9]) for c in rows.schema.names})]
-    found = [p for b in neardup._compared(75, False)(iter(pieces)) for p in zip(*b.to_pydict().values(), strict=True)]
-    assert len(found) == 6 and found[-1] == (9, 0, 1)
+    for kind in (neardup.Block, neardup.Sets):
+        forest = kind(rows, 75).forest(0, 8)
+        assert len(forest) == 5 and all(a // 4 == b // 4 for a, b in forest)
+        found = [p for b in neardup._compared(75, kind)(iter(pieces)) for p in zip(*b.to_pydict().values(), strict=True)]
+        assert len(found) == 6 and found[-1] == (9, 0, 1) and all(a // 4 == b // 4 for _, a, b in found)
+    far = neardup.Sets(rows, 99)
+    assert far.margin(0, np.array([0, 1, 4])).tolist() == [len(sets[0]) * 0.01, -1, -1]
 
 
 # 5 main text
