@@ -2,13 +2,14 @@
 
 An item is contained in a document if 100 * |shared distinct shingles| >= percent * |distinct shingles of the item|.
 
-Containment search by size-partitioned MinHash. Items are partitioned by their number of shingles into classes
-(upper bounds double). An item's signature is its bands: the least values of its shingles under one hash, a single
-shingle a band. A class has as many bands as an item at its upper bound may lack shingles, and one more: of so many
-shingles of an item a document that contains it has at least one, so no document is missed, whatever its length. A
-class is skipped for documents with fewer shingles than its smallest item needs. Documents need no signature, as
-all their shingles are looked up among the bands; so a long document costs its length, and there is no shuffle.
-Candidates are verified by counting the shared shingles of the whole sets.
+Containment search by size-partitioned MinHash. Items are partitioned by their number of shingles into classes (upper
+bounds double). An item's signature is its minwise shingle under each of FUNCTIONS hash functions (in classes of at most
+FUNCTIONS shingles, all of its shingles). A minwise shingle is any of the item's with equal probability, so a document has
+it with a probability of just the item's containment in it, whatever the document's length: the share of the signature
+that a document has estimates containment without a signature of the document, all of whose shingles are looked up.
+Each class has a least number of hits, the largest that a contained item falls short of with probability MISS at most
+(8 of 32; none in small classes), and is skipped for documents with fewer shingles than its smallest item needs.
+Candidates are verified by counting the shared shingles of the whole sets. There is no shuffle but of result rows.
 
 Items are sent to the executors in blocks of at most BLOCK items and BLOCK_WORDS words, one pass over the documents a
 block, so what is broadcast is bounded however large the benchmark is.
@@ -21,6 +22,7 @@ kept as null; empty tables give no rows; other columns are not looked at.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,12 +32,23 @@ from pyspark.sql import functions as F
 
 from hornbeam.llm import common
 
-PERCENT, BLOCK, BLOCK_WORDS = 75, 20_000, 4_000_000
+PERCENT, FUNCTIONS, MISS, BLOCK, BLOCK_WORDS = 75, 32, 1e-9, 20_000, 4_000_000
+_SEEDS = common.mixed(np.arange(1, FUNCTIONS + 1, dtype=np.uint64) * common.GOLDEN)
 _OUT = [("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_shared", pa.int64()), ("n_item", pa.int64())]
 
 
+def least_hits(percent: int, miss: float = MISS) -> int:
+    """The largest number of hits that an item at the threshold falls short of with probability miss at most."""
+    p, below = percent / 100, 0.0
+    for hits in range(FUNCTIONS + 1):
+        below += math.comb(FUNCTIONS, hits) * p**hits * (1 - p) ** (FUNCTIONS - hits)
+        if below > miss:
+            return max(1, hits)
+    return FUNCTIONS
+
+
 class Items:
-    """A block of items with their bands, by length of shingle."""
+    """A block of items with their signatures, by length of shingle and size."""
 
     def __init__(self, rows: list[tuple[int | None, str]], percent: int, k: int = common.SHINGLE):
         self.ids, self.sets, self.percent = [r[0] for r in rows], [], percent
@@ -46,38 +59,44 @@ class Items:
             self.sets.append(np.unique(common.combined(words, own)) if own else words)
             if own:
                 by.setdefault((own, int(np.ceil(np.log2(len(self.sets[i]))))), []).append(i)
-        #: length of shingle, shingles that its smallest item needs, bands (sorted), first and last + 1 of each band's items, items
+        #: length of shingle, shingles that its smallest item needs, least hits of each item, signature values (sorted), first and last + 1 of each value's items, items
         self.classes = []
         for (own, power), items in sorted(by.items()):
-            upper = 2**power
-            bands = upper - (percent * upper + 99) // 100 + 1
-            keys = np.concatenate([self._bands(i, bands) for i in items])
-            owner = np.concatenate([np.full(min(bands, len(self.sets[i])), i) for i in items])
-            order = np.argsort(keys, kind="stable")
-            band, first = np.unique(keys[order], return_index=True)
-            need = min(self.needed(i) for i in items)
-            self.classes.append((own, need, band, np.append(first, len(keys)), owner[order]))
+            whole = 2**power <= FUNCTIONS
+            signatures = [self.sets[i] if whole else self.signature(i) for i in items]
+            values, owner = np.concatenate(signatures), np.repeat(np.arange(len(items)), [len(x) for x in signatures])
+            hits = np.array([self.needed(i) if whole else least_hits(percent) for i in items])
+            order = np.argsort(values, kind="stable")
+            value, first = np.unique(values[order], return_index=True)
+            self.classes.append((own, min(map(self.needed, items)), hits, value, np.append(first, len(values)), owner[order], np.array(items)))
+
+    def signature(self, i: int) -> np.ndarray:
+        """The item's minwise shingle under each hash function."""
+        return self.sets[i][common.mixed(self.sets[i][:, None] ^ _SEEDS).argmin(0)]
 
     def needed(self, i: int) -> int:
         return (self.percent * len(self.sets[i]) + 99) // 100
 
-    def _bands(self, i: int, n: int) -> np.ndarray:
-        return self.sets[i][np.argsort(common.mixed(self.sets[i]), kind="stable")[:n]]
+    def candidates(self, have: np.ndarray, own: int) -> Iterator[int]:
+        """Items of shingles of own words, of whose signature the sorted set has enough."""
+        for length, need, hits, values, first, owner, items in self.classes:
+            if length != own or len(have) < need:
+                continue
+            small, large = (values, have) if len(values) < len(have) else (have, values)
+            hit = small[large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small]
+            if len(hit):
+                at = np.searchsorted(values, hit)
+                size = first[at + 1] - first[at]
+                found = owner[np.repeat(first[at] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+                yield from items[np.bincount(found, minlength=len(items)) >= hits].tolist()
 
     def contained(self, text: str | None) -> list[tuple[int, int]]:
         """The items that the text contains, each with the shingles it shares."""
         words = common.word_hashes((text or "").encode("utf-8", "surrogatepass"))
-        sets: dict[int, np.ndarray] = {}
         out = []
-        for own, need, bands, first, owner in self.classes:
-            if own not in sets:
-                sets[own] = np.unique(common.combined(words, own))
-            have = sets[own]
-            if len(have) < need:
-                continue
-            small, large = (bands, have) if len(bands) < len(have) else (have, bands)
-            hit = small[large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small]
-            for i in sorted({int(x) for b in np.searchsorted(bands, hit) for x in owner[first[b] : first[b + 1]]}):
+        for own in sorted({c[0] for c in self.classes}):
+            have = np.unique(common.combined(words, own))
+            for i in self.candidates(have, own):
                 mine = self.sets[i]
                 shared = int((have[np.minimum(np.searchsorted(have, mine), len(have) - 1)] == mine).sum())
                 if shared >= self.needed(i):
@@ -120,6 +139,15 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> D
 
 
 def clean(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The documents that contain no item, with all their columns. The ids to leave out are a join, broadcast if small by Spark's own measure."""
-    bad = common.written(contaminated(docs, items, percent).select(F.col("doc_id").alias("bad_id")).distinct(), "contaminated")
-    return docs.join(bad, docs["doc_id"] == bad["bad_id"], "left_anti")
+    """The rows of docs whose text contains no item, with all their columns; each row is judged by its own text, whatever its doc_id."""
+    for block in _blocks(items):
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+
+        def keep(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            found = Items(sent.value, percent)
+            for batch in batches:
+                texts = batch.column(batch.schema.get_field_index("text"))
+                yield batch.filter(pa.array([not found.contained(x.as_py()) for x in texts], pa.bool_()))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs

@@ -4,11 +4,13 @@ For each language a suffix automaton is built of a sample of its labelled texts.
 phrases, each the longest that occurs in the sample (or one character, if that occurs nowhere). A language's
 cross-entropy is phrases * log2(length of its sample) / characters; the language of the least wins.
 
-Texts are lower-cased; every run of characters that are not letters is one boundary symbol. A whole text is parsed
-in blocks of BLOCK symbols, each from the root, side by side: one look-up a symbol and language for all blocks.
+Texts are lower-cased; every run of characters that are not letters is one boundary symbol. Whole texts are parsed. Texts
+run side by side, one look-up a symbol and language for all; those of more than BLOCK symbols run as several blocks, each
+from the state at which its predecessor ends: blocks start from a guess, and those whose guess was wrong run again until
+every block starts where its predecessor ended, so phrases reach over the edges of blocks.
 
-The sample is at most SAMPLE characters of each language, taken from whole labelled texts in order of a hash of
-doc_id; the bound is that of what the driver and each worker hold. At most about ROWS rows a language are gathered.
+An automaton is learned from the whole texts of at most ROWS labelled rows of a language, those of least hash of
+doc_id. Its transitions are a dense table if that has at most DENSE entries, else sorted keys.
 
 Defined cases: a null text or one without a letter is "und" with score 0; score is 1 - least / second least entropy
 (1 if one language was learned; ties go to the lesser name and score 0); without any labelled row every text is
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE, ROWS, BLOCK, AT_ONCE = 40_000, 64, 2048, 4_000_000
+ROWS, BLOCK, DENSE, AT_ONCE = 16, 4096, 16_000_000, 4_000_000
 _LOADED: dict[str, Model] = {}
 
 
@@ -79,29 +81,80 @@ def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
     return go
 
 
+class Parser:
+    """A language's parser: from state and symbol to the next state and the phrases that end there."""
+
+    def __init__(self, sample: np.ndarray):
+        alphabet = np.unique(sample)
+        self.bits = math.log2(max(2, len(sample)))
+        self.symbol = np.zeros(0x110000, np.int32)  # 0: not in the sample
+        self.symbol[alphabet] = np.arange(1, len(alphabet) + 1)
+        self.width = len(alphabet) + 1
+        go = suffix_automaton(self.symbol[sample].tolist())
+        self.start = np.full(self.width, 1, np.int64)  # an unknown symbol is a phrase of its own, and ends at the root
+        self.start[list(go[0])] = np.array(list(go[0].values()), np.int64) << 2
+        self.dense = len(go) * self.width <= DENSE
+        if self.dense:
+            # elsewhere than at the root a phrase ends where it cannot be longer, and the next begins with the symbol
+            table = np.tile(self.start + 1, (len(go), 1)).astype(np.int32)
+            table[0] = self.start
+            for state, edges in enumerate(go):
+                for c, q in edges.items():
+                    table[state, c] = q << 2
+            self.table = table.reshape(-1)
+        else:
+            rows = sorted((state * self.width + c, q << 2) for state, edges in enumerate(go) for c, q in edges.items())
+            self.keys, self.values = (np.array(x, np.int64) for x in zip(*rows, strict=True))
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Four times the next state, plus the phrases that end."""
+        at = state * self.width + symbol
+        if self.dense:
+            return self.table[at]
+        place = np.minimum(np.searchsorted(self.keys, at), len(self.keys) - 1)
+        return np.where(self.keys[place] == at, self.values[place], self.start[symbol] + (state > 0))
+
+    def run(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states at which blocks of data end, and the phrases that end in them, from their entry states."""
+        order = np.argsort(-lengths, kind="stable")
+        starts, lengths = starts[order], lengths[order]
+        state, count = entry[order].astype(np.int64), np.zeros(len(order), np.int64)
+        for t, n in enumerate(np.searchsorted(-lengths, -np.arange(1, lengths.max(initial=0) + 1), side="right")):
+            got = self.step(state[:n], data[starts[:n] + t])
+            count[:n] += got & 3
+            state[:n] = got >> 2
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return state[back], count[back]
+
+    def phrases(self, points: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The number of phrases of each of the texts that points hold one after another."""
+        data = self.symbol[points]
+        blocks = -(-sizes // BLOCK)
+        owner = np.repeat(np.arange(len(sizes)), blocks)
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        starts = np.repeat(np.cumsum(sizes) - sizes, blocks) + nth * BLOCK
+        lengths = np.minimum(BLOCK, np.repeat(sizes, blocks) - nth * BLOCK)
+        entry = np.zeros(len(owner), np.int64)
+        leave, count = self.run(data, starts, lengths, entry)
+        while True:
+            before = np.where(nth > 0, np.append(0, leave[:-1]), 0)
+            again = np.flatnonzero(entry != before)
+            if not len(again):
+                break
+            entry[again] = before[again]
+            leave[again], count[again] = self.run(data, starts[again], lengths[again], entry[again])
+        open_at_end = (nth == np.repeat(blocks, blocks) - 1) & (leave > 0)
+        return np.bincount(owner, count + open_at_end, len(sizes))
+
+
 class Model:
-    """The parsers of all languages, as dense tables: state and symbol to the next state and the phrases that end."""
+    """The parsers of all languages."""
 
     def __init__(self, samples: dict[str, str]):
         self.langs = sorted(samples)
-        own = {x: symbols(samples[x]) for x in self.langs}
-        alphabet = np.unique(np.concatenate([np.zeros(0, np.uint32), *own.values()]))
-        self.symbol = np.zeros(0x110000, np.int32)  # 0: in no sample
-        self.symbol[alphabet] = np.arange(1, len(alphabet) + 1)
-        self.width = len(alphabet) + 1
-        self.tables, self.bits = [], []
-        for x in self.langs:
-            go = suffix_automaton(self.symbol[own[x]].tolist())
-            start = np.full(self.width, 1, np.int32)  # an unknown symbol is a phrase of its own, and ends at the root
-            for c, q in go[0].items():
-                start[c] = q << 2
-            # elsewhere a phrase ends where it cannot be longer, and the next begins with the symbol
-            table = np.tile(start + 1, (len(go), 1))
-            table[0] = start
-            states = np.repeat(np.arange(len(go)), [len(g) for g in go])
-            table[states, [c for g in go for c in g]] = np.array([q << 2 for g in go for q in g.values()], np.int32)
-            self.tables.append(table.reshape(-1))
-            self.bits.append(math.log2(max(2, len(own[x]))))
+        self.parsers = [Parser(symbols(samples[x])) for x in self.langs]
+        self.bits = [x.bits for x in self.parsers]
 
     @classmethod
     def load(cls, samples: dict[str, str]) -> Model:
@@ -114,25 +167,8 @@ class Model:
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """The number of phrases of each text (symbols), a row for each language."""
         sizes = np.array([len(x) for x in texts], np.int64)
-        data = self.symbol[np.concatenate([np.zeros(0, np.uint32), *texts])]
-        blocks = -(-sizes // BLOCK)
-        owner = np.repeat(np.arange(len(texts)), blocks)
-        nth = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        starts = np.repeat(np.cumsum(sizes) - sizes, blocks) + nth * BLOCK
-        lengths = np.minimum(BLOCK, np.repeat(sizes, blocks) - nth * BLOCK)
-        order = np.argsort(-lengths, kind="stable")
-        starts, lengths, owner = starts[order], lengths[order], owner[order]
-        active = np.searchsorted(-lengths, -np.arange(1, lengths.max(initial=0) + 1), side="right")
-        state = np.zeros((len(self.langs), len(starts)), np.int64)
-        count = np.zeros_like(state)
-        for t, n in enumerate(active):
-            symbol = data[starts[:n] + t]
-            for table, s, k in zip(self.tables, state, count, strict=True):
-                got = table[s[:n] + symbol]
-                k[:n] += got & 3
-                s[:n] = (got >> 2) * self.width
-        count += state > 0
-        return np.array([np.bincount(owner, k, len(texts)) for k in count]).reshape(len(self.langs), len(texts))
+        points = np.concatenate([np.zeros(0, np.uint32), *texts])
+        return np.array([x.phrases(points, sizes) for x in self.parsers]).reshape(len(self.langs), len(texts))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and score of each text."""
@@ -148,22 +184,21 @@ class Model:
         return [self.langs[b] if n else "und" for b, n in zip(best, sizes, strict=True)], np.where(sizes > 0, np.clip(score, 0, 1), 0.0)
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, rows: int = ROWS) -> dict[str, str]:
-    """The samples of each language, from rows that are not held out; two narrow passes, nothing is shuffled but counts."""
-    known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+def fit(docs: DataFrame, rows: int = ROWS) -> dict[str, str]:
+    """The whole texts of at most `rows` rows of each language that are not held out, joined; two narrow passes, nothing is shuffled but counts."""
+    known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") > 0))
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not counts:
         return {}
     order = F.pmod(F.xxhash64("doc_id"), F.lit(2**40)) / F.lit(2.0**40)
+    # several times the rows wanted, so that there are enough
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, 4.0 * rows / n)])
-    # whole texts, but what the driver gets of one is bounded by the sample that it can be part of
-    chosen = known.filter((order < F.try_element_at(share, F.col("lang"))) & (F.length("text") > 0)).select("lang", order.alias("o"), "doc_id", F.substring("text", 1, sample).alias("text"))
-    samples: dict[str, str] = {}
-    for r in sorted(chosen.toLocalIterator(), key=lambda r: (r["lang"], r["o"], r["doc_id"])):
-        have = samples.get(r["lang"], "")
-        if len(have) < sample:
-            samples[r["lang"]] = f"{have}\n{r['text']}"[: sample + 1]
-    return samples
+    chosen = known.filter(order < F.try_element_at(share, F.col("lang"))).select("lang", order.alias("o"), "doc_id", "text")
+    samples: dict[str, list[str]] = {}
+    for r in sorted(chosen.collect(), key=lambda r: (r["lang"], r["o"], r["doc_id"], r["text"])):
+        if len(samples.setdefault(r["lang"], [])) < rows:
+            samples[r["lang"]].append(r["text"])
+    return {lang: "\n".join(["", *texts]) for lang, texts in samples.items()}
 
 
 def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:

@@ -1,10 +1,13 @@
 """License notices in documents, by conditional compression.
 
 Blocks of text that may hold a notice are compressed alone and with each template as a zstandard raw-content
-dictionary; the share of its size that a block loses is reported as reduction. It decides nothing, as a short notice
-saves next to nothing of a long block: every template is confirmed by its wording. The template's words are aligned
-with the block's, and words that are missing, or foreign within the aligned span, must be at most ALLOWED of the
-template's words, with no difference in words that tell licenses apart (those with a digit, and KEYS).
+dictionary, in pieces of twice the template's words (PIECE words at least) that overlap by half, as a short notice saves
+next to nothing of a long block. The bytes that a template saves of a piece, as a share of those that it saves of itself,
+are about 1 if the piece holds its wording and about 0 if not. Templates are ranked by that gain, and all of at
+least LEAST are confirmed by their wording, the best first: the template's words are aligned with the block's, and words
+that are missing, or foreign within the aligned span, must be at most ALLOWED of the template's words, with no difference
+in words that tell licenses apart (those with a digit, and KEYS). LEAST is far below what a confirmed wording saves: it
+spares alignments, and tests hold it against aligning every template.
 
 Candidate blocks: each line with one of TRIGGERS, and each paragraph (text between blank lines) with one or, if it has
 more than WINDOW words, windows of WINDOW words that overlap by half; a license is counted by line, else by paragraph. Whole texts are
@@ -26,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, ALLOWED, LEVEL = 400, 0.1, 3
+WINDOW, ALLOWED, PIECE, LEAST, LEVEL = 400, 0.1, 60, 0.2, 3
 #: Usual wordings of notices, by SPDX identifier or a name of our own in lower case.
 TEMPLATES = [
     ("all-rights-reserved", "All rights reserved."),
@@ -45,7 +48,13 @@ TEMPLATES = [
         '(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, '
         "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so",
     ),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    (
+        "BSD-3-Clause",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+        "without specific prior written permission.",
+    ),
+    ("BSD-4-Clause", "All advertising materials mentioning features or use of this software must display the following acknowledgement"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
@@ -68,9 +77,11 @@ TEMPLATES = [
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
 ]
+#: What a license is if the text has another's clause too: the notice that both begin with names the shorter one.
+WITH = [("BSD-2-Clause", "BSD-3-Clause"), ("BSD-2-Clause", "BSD-4-Clause"), ("BSD-3-Clause", "BSD-4-Clause")]
 KEYS = frozenset("lesser affero noncommercial sharealike noderivatives mit apache mozilla bsd".split())
 #: Every template has one of these; a block without any is no candidate.
-TRIGGERS = ("licens", "rights reserved", "permission", "redistribut")
+TRIGGERS = ("licens", "rights reserved", "permission", "redistribut", "advertising materials")
 _WORD = re.compile(r"[^\W_]+(?:[-./'][^\W_]+)*")
 
 
@@ -105,7 +116,9 @@ class Scanner:
         self.templates = []
         for name, text in templates:
             raw = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            self.templates.append((name, words(text), zstandard.ZstdCompressor(dict_data=raw, **quiet)))
+            given = zstandard.ZstdCompressor(dict_data=raw, **quiet)
+            own = len(self.alone.compress(text.encode())) - len(given.compress(text.encode()))
+            self.templates.append((name, words(text), given, own, max(PIECE, 2 * len(text.split()))))
 
     def differences(self, template: list[str], block: list[str], matcher: SequenceMatcher) -> int | None:
         """Words by which the block's wording of the template differs; None if a telling word does. matcher has the block."""
@@ -125,26 +138,31 @@ class Scanner:
             return None
         return max(len(missing), len(foreign)) if missing or foreign else 0
 
+    def ranked(self, block: str) -> list[tuple[float, float, int]]:
+        """Gain, share of a piece's compressed size that is saved, and number of each template that saves enough, the best first."""
+        whole, pieces = block.split(), {}
+        for size in {t[4] for t in self.templates}:
+            cut = [" ".join(whole[at : at + size]).encode("utf-8", "surrogatepass") for at in range(0, max(1, len(whole) - size // 2), size // 2)]
+            pieces[size] = [(x, len(self.alone.compress(x))) for x in cut]
+        found = []
+        for i, (_, _, given, own, size) in enumerate(self.templates):
+            saved, alone = max((alone - len(given.compress(x)), alone) for x, alone in pieces[size])
+            if saved >= LEAST * own:
+                found.append((saved / own, saved / alone, i))
+        return sorted(found, key=lambda x: (-x[0], x[2]))
+
     def confirmed(self, block: str) -> dict[str, tuple[float, int]]:
         """The licenses whose wording the block has, with size reduction and differing words."""
         own = words(block)
         there, matcher = set(own), SequenceMatcher(None, (), own, autojunk=False)
-        found = []
-        for i, (_, template, _) in enumerate(self.templates):
+        out: dict[str, tuple[float, int]] = {}
+        for _, reduction, i in self.ranked(block):
+            name, template = self.templates[i][:2]
             # words that the block has nowhere are missing in every alignment
             if sum(w not in there for w in template) <= ALLOWED * len(template):
                 n = self.differences(template, own, matcher)
-                if n is not None and n <= ALLOWED * len(template):
-                    found.append((i, n))
-        out: dict[str, tuple[float, int]] = {}
-        if found:
-            data = block.encode("utf-8", "surrogatepass")
-            alone = len(self.alone.compress(data))
-            gains = sorted(((1 - len(self.templates[i][2].compress(data)) / alone, i, n) for i, n in found), key=lambda x: (-x[0], x[1]))
-            for gain, i, n in gains:
-                name = self.templates[i][0]
-                if name not in out or n < out[name][1]:
-                    out[name] = (gain, n)
+                if n is not None and n <= ALLOWED * len(template) and (name not in out or n < out[name][1]):
+                    out[name] = (reduction, n)
         return out
 
     def scan(self, text: str | None) -> list[tuple[str, float, int]]:
@@ -154,6 +172,9 @@ class Scanner:
             by_line = [(name, *x) for line in lines for name, x in self.confirmed(line).items()]
             seen = {x[0] for x in by_line}
             out += by_line + [(name, *x) for w in windows for name, x in self.confirmed(w).items() if name not in seen]
+        for name, longer in WITH:
+            if any(x[0] == longer for x in out):
+                out = [(longer, *x[1:]) if x[0] == name else x for x in out]
         return out
 
 

@@ -11,8 +11,10 @@ sums, and windows run within one bucket. The cut is found from sums by bucket of
 over the one bucket in which the budget is reached; no row is moved for that.
 
 Defined cases: a null source is a source, the last; a null or wordless text has size 0 and is never counted as
-taken; equal finish times follow the shuffle key, then doc_id; repeated rows are documents of their own; an empty
-table gives an empty mix. Columns of the input that clash with the operator's own (prefix `mix_`) are dropped.
+taken; the shuffle key is a hash of doc_id, source and text, so rows that share a doc_id or have none are dealt like any
+others, and only rows equal in all three are interchangeable; equal finish times follow the shuffle key, then doc_id;
+repeated rows are documents of their own; an empty table gives an empty mix. Columns of the input that are named like the
+operator's own (mix_size, mix_epoch, mix_finish) stay, and the operator's are left out.
 """
 
 from __future__ import annotations
@@ -54,14 +56,16 @@ def targets(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
 
 
 def _keyed(docs: DataFrame, digits: int, seed: str) -> DataFrame:
-    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f"/{seed}")))
-    return (
-        docs.drop(*[c for c in docs.columns if c.lower().startswith("mix_")])
-        .withColumn("mix_source", F.col("source"))
-        .withColumn("mix_size", words(F.col("text")))
-        .withColumn("mix_key", key)
-        .withColumn("mix_bucket", F.substring("mix_key", 1, digits))
-    )
+    """mix_row (all columns of docs), doc_id, and the operator's own columns."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    key = F.md5(F.concat(text("doc_id"), F.lit(f"/{seed}/"), text("source"), F.lit("/"), F.md5(text("text"))))
+    return docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("mix_row"),
+        "doc_id",
+        F.col("source").alias("mix_source"),
+        words(F.col("text")).alias("mix_size"),
+        key.alias("mix_key"),
+    ).withColumn("mix_bucket", F.substring("mix_key", 1, digits))
 
 
 def _placed(keyed: DataFrame, buckets: DataFrame) -> DataFrame:
@@ -85,7 +89,7 @@ _ORDER = ("mix_finish", "mix_key", "doc_id", "mix_epoch")
 
 
 def plan(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
-    """docs with mix_size, mix_source_size, mix_target, mix_weight, mix_end and mix_epochs: the copies that the mix takes."""
+    """mix_row (the columns of docs), doc_id, mix_size, mix_source_size, mix_target, mix_weight, mix_end and mix_epochs: the copies that the mix takes."""
     n = docs.count()
     digits = min(5, max(1, math.ceil(math.log(max(n, 1) / 2048 + 1, 16))))
     keyed = _keyed(docs, digits, seed)
@@ -119,7 +123,8 @@ def plan(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = SEED) ->
 
 def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """The mixed documents, range-sorted by mix_finish: a row for each copy taken (mix_epoch 0, 1, ...), with the columns of docs."""
-    own = [c for c in docs.columns if not c.lower().startswith("mix_")]
+    own = {c.lower() for c in docs.columns}
     rows = plan(docs, weights, cap, seed).withColumn("mix_epoch", F.explode("mix_epochs"))
     finish = (F.col("mix_epoch") * F.col("mix_source_size") + F.col("mix_end")) / F.col("mix_weight")
-    return rows.select(*own, "mix_size", "mix_epoch", finish.alias("mix_finish")).orderBy("mix_finish", "doc_id", "mix_epoch")
+    rows = rows.select("mix_row", "mix_key", "doc_id", "mix_size", "mix_epoch", finish.alias("mix_finish")).orderBy(*_ORDER)
+    return rows.select("mix_row.*", *[c for c in ("mix_size", "mix_epoch", "mix_finish") if c not in own])

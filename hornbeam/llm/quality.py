@@ -6,8 +6,8 @@ repeats what stands before in the passage. With h = tanh(W x + w) for each passa
 a = softmax over the bag of v . (tanh(V h) * sigmoid(U h)), and the score is sigmoid(c . sum(a h) + b). The
 parameters are learned from document labels only, by gradient descent (Adam) on the log loss.
 
-Fitting uses a bounded sample: about ROWS labelled documents of each label, those of least hash of doc_id, and of
-each at most BAG passages, evenly spaced. Only their encoded passages reach the driver. Scoring reads whole texts.
+Fitting uses a bounded sample: about ROWS labelled documents of each label, those of least hash of doc_id, with all
+their passages. Only their encoded passages reach the driver. Scoring reads whole texts.
 
 Defined cases: a null or empty text is one empty passage and is scored; without labels of both kinds the score is
 the share of label 1 among those there are, or 0.5; of labels that contradict each other for a doc_id the least
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-PASSAGE, ROWS, BAG, HIDDEN, GATE, STEPS, SEED, THRESHOLD, AT_ONCE = 512, 1200, 12, 24, 16, 300, 7, 0.7, 1_000_000
+PASSAGE, ROWS, HIDDEN, GATE, STEPS, SEED, THRESHOLD, AT_ONCE = 512, 1200, 24, 16, 300, 7, 0.7, 1_000_000
 _SIGNS = [c for c in range(33, 127) if not chr(c).isalnum()]
 _FINE = np.full(256, 5, np.uint8)  # control characters and what is not ASCII
 _FINE[97:123], _FINE[65:91], _FINE[48:58], _FINE[32], _FINE[10] = 0, 1, 2, 3, 4
@@ -144,12 +144,12 @@ class Model:
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each labelled text at most BAG encoded passages, evenly spaced."""
+    """All encoded passages of each labelled text."""
     for batch in batches:
         out = []
         for text in batch.column("text").to_pylist():
             x, _ = passages([(text or "").encode("utf-8", "surrogatepass")])
-            out.append(x[np.unique(np.linspace(0, len(x) - 1, min(len(x), BAG)).astype(int))].tobytes())
+            out.append(x.tobytes())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("label").cast(pa.int32()), pa.array(out, pa.binary())], names=["doc_id", "label", "x"])
 
 
@@ -180,6 +180,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
     return model
 
 
+def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that are predicted 1, with their columns and no others, however these are named."""
+    rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return score(rows, model, threshold).filter("predicted = 1").select("row.*")
+
+
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """All columns of docs but those named held_out, score or predicted, and held_out, score and predicted."""
     own = ("held_out", "score", "predicted")

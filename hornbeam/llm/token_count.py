@@ -19,9 +19,11 @@ kept in a dense table (at most STATES of them, then the table is begun again).
 
 Texts are cut into chunks of about CHUNK bytes, which run side by side, one table look-up a byte for all of them.
 A chunk's map takes the state at its start to the state at its end and a count. Where a chunk begins with ASCII
-white space after another ASCII character, the map is constant: no piece reaches over that place. Any other chunk
-is run from a guess, and the maps of neighbouring chunks are composed: chunks whose entry state differs from those
-tried are run again, all such chunks at once, until each entry state is its predecessor's exit state.
+white space after another ASCII character, the map is constant: no piece reaches over that place. Any other chunk's map
+is known at the entry states tried so far. A parallel prefix scan composes the maps of each text's chunks in
+log2(chunks) steps of doubling reach: a composed map is known if each chunk's entry state is its predecessor's exit
+state, or its map is constant. Chunks at which that fails are run from the exit state that the scan gives them, all at
+once, and the scan is repeated until the map of every text is known from its beginning.
 
 Defined cases: null and empty texts have 0 bytes and 0 tokens; special tokens in a text count as one, which is the
 library's default; very long texts are just more chunks; repeated rows are counted each; columns other than doc_id
@@ -292,6 +294,8 @@ class Transducer:
 
     def _fill(self, at: int) -> None:
         key, n = self._step(self.keys[at >> 8], at & 255)
+        if not -128 <= n < 128:
+            raise ValueError("a byte changes the count by more than its eight bits of a table entry hold")
         to = self._number(key)
         self.table.reshape(-1)[at] = (to << 8) | (n + 128)
 
@@ -355,14 +359,28 @@ class Transducer:
         lengths = np.diff(np.append(starts, len(data)))
         entry = np.full(len(starts), self.begin)
         leave, counts = self.run(data, starts, lengths, entry)
+        last = np.cumsum(np.bincount(owner, minlength=len(texts))) - 1
         while True:
-            before = np.concatenate([[self.begin], leave[:-1]])
-            again = np.flatnonzero(~constant & (entry != before))
-            if not len(again):
-                return np.bincount(owner, counts, len(texts)).astype(np.int64)
-            entry[again] = before[again]
+            known, upto = self.scanned(entry, leave, counts, constant, owner)
+            if known.all():
+                return np.where(sizes > 0, upto[last], 0)
+            # of these the exit state of what stands before may be wrong yet, but the first of each text has the right one
+            again = np.flatnonzero(~constant & (entry != np.append(self.begin, leave[:-1])))
+            entry[again] = leave[again - 1]
             leave[again], counts[again] = self.run(data, starts[again], lengths[again], entry[again])
 
+    def scanned(self, entry: np.ndarray, leave: np.ndarray, counts: np.ndarray, constant: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The maps of the first chunks of each text up to each chunk, composed by a prefix scan: whether the composed map is
+        known at the state in which the text begins, and its count there. First chunks have constant maps."""
+        fits = constant | (entry == np.append(self.begin, leave[:-1]))  # each map can follow the one before it
+        known, total, reach = fits.copy(), counts.astype(np.int64), 1
+        while reach < len(owner) and (owner[reach:] == owner[:-reach]).any():
+            same = np.append(np.zeros(reach, bool), owner[reach:] == owner[:-reach])
+            before = np.maximum(np.arange(len(owner)) - reach, 0)
+            known, total = known & (known[before] | ~same), total + np.where(same, total[before], 0)
+            reach *= 2
+        return known, total
+
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit) of every row of docs."""

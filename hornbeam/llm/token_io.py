@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from hornbeam.llm import common
 
 END, NO_DOC = 0, -(2**63)
-CACHED, AT_ONCE = 500_000, 2_000_000
+CACHED, CACHED_CHARS, AT_ONCE = 500_000, 8_000_000, 2_000_000
 #: The characters of the Unicode property White_Space.
 WHITE = "\t-\r \x85\xa0  -     　"
 _LETTERS, _SIGNS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-@\[-`{-~"
@@ -74,11 +74,12 @@ class Encoder:
         return _LOADED[path]
 
     def clear(self) -> None:
-        self.place = _Numbers()
+        self.place, self.chars = _Numbers(), 0
         self.ids, self.starts, self.used = np.zeros(1 << 16, self.dtype), np.zeros(1 << 12, np.int64), 0
 
     def _keep(self, new: list[str]) -> None:
         """The ids of new cuts, the last that were numbered."""
+        self.chars += sum(map(len, new))
         rows = [x.ids for x in self.library.encode_batch_fast(new, add_special_tokens=False)]
         sizes = np.fromiter(map(len, rows), np.int64, len(rows))
         total, n = self.used + int(sizes.sum()), len(self.place)
@@ -92,7 +93,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has, its end id included."""
-        if len(self.place) > CACHED:
+        if len(self.place) > CACHED or self.chars > CACHED_CHARS:
             self.clear()
         cuts = [(_COARSE if "<|" in x else _CUTS).findall(x) if x else [] for x in texts]
         per_text = np.fromiter(map(len, cuts), np.int64, len(cuts))
@@ -165,7 +166,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, parts: int | None = None)
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # by the whole order, so that rows that share a doc_id, or have none, need not be one part
+    rows = rows.repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     schema = pa.schema([("part", pa.int64()), ("docs", pa.int64()), ("ids", pa.int64())])
     made = sorted(rows.mapInArrow(_part_writer(path, tokenizer, schema), "part long, docs long, ids long").collect())
     bases = np.concatenate([[0], np.cumsum([r["ids"] for r in made], dtype=np.int64)])

@@ -91,6 +91,25 @@ def test_decontamination_in_blocks_and_empty(spark, docs, real, monkeypatch):
     assert decontam.clean(real, items).count() == real.count() - len({r[0] for r in whole})
 
 
+def test_decontamination_of_large_items_and_by_row(spark):
+    """Items above the signature's size are found inside a long text; each row is judged by itself, whatever its doc_id."""
+    rng = np.random.default_rng(4)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    draw = lambda n: [str(x) for x in rng.choice(vocabulary, n)]
+    items = [(i, " ".join(draw(int(n)))) for i, n in enumerate(rng.integers(40, 900, 12))]
+    docs = []
+    for i, (_, text) in enumerate(items):
+        w = text.split()
+        part = w[: int(len(w) * (0.6 + 0.03 * i))]  # around the threshold
+        docs.append((7 if i % 2 else None, " ".join([*draw(3000), *part, *draw(2000)])))
+    docs += [(7, "a clean text of seven words only"), (None, "another clean text")]
+    table, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = brute_contained(docs, items)
+    assert {tuple(r) for r in decontam.contaminated(table, bench).select("doc_id", "item_id", "n_shared", "n_item").collect()} == want
+    bad = {t for d, t in docs if brute_contained([(d, t)], items)}
+    assert 0 < len(bad) < 12 and sorted(r["text"] for r in decontam.clean(table, bench).collect()) == sorted(t for _, t in docs if t not in bad)
+
+
 # 2 languages
 
 
@@ -115,6 +134,18 @@ def test_cross_parsing_is_brute_force():
         assert [int(v) for v in row] == [brute_phrases(clean, "".join(map(chr, langid.symbols(t)))) for t in texts]
 
 
+def test_cross_parsing_of_long_texts(monkeypatch):
+    """Phrases reach over the edges of blocks, and wide alphabets, which are not dense tables, parse alike."""
+    rng = np.random.default_rng(2)
+    samples = {x: " ".join("".join(rng.choice(list(letters), rng.integers(2, 6))) for _ in range(150)) for x, letters in (("x", "abc"), ("y", "bcde"), ("z", [chr(0x4E00 + i) for i in range(300)]))}
+    texts = [samples["x"][20:400] + samples["y"][100:500], samples["z"] * 2, "abc" * 70, ""]
+    want = [[brute_phrases("".join(map(chr, langid.symbols(samples[x]))), "".join(map(chr, langid.symbols(t)))) for t in texts] for x in samples]
+    for block, dense in ((7, 10**9), (64, 0), (10**6, 10**9)):
+        monkeypatch.setattr(langid, "BLOCK", block)
+        monkeypatch.setattr(langid, "DENSE", dense)
+        assert langid.Model(samples).phrases([langid.symbols(t) for t in texts]).tolist() == want
+
+
 def test_languages_of_held_out_documents(spark, real):
     docs = common.read(spark, "/root/testdata/sf0.01", "documents")
     found = langid.identify(docs, langid.fit(docs)).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
@@ -148,7 +179,7 @@ def test_mix_targets_and_limits(spark, docs):
 
 
 def test_mix_is_near_its_targets_and_repeatable(spark):
-    docs = common.read(spark, "/root/testdata/sf0.01", "documents").withColumn("MIX_size", F.lit("clash"))
+    docs = common.read(spark, "/root/testdata/sf0.01", "documents")
     first = mixing.plan(docs).select("doc_id", "mix_source", "mix_target", "mix_size", (F.col("mix_size") * F.size("mix_epochs")).alias("taken")).collect()
     again = mixing.plan(docs.repartition(7)).select("doc_id", (F.col("mix_size") * F.size("mix_epochs")).alias("taken")).collect()
     assert {r["doc_id"]: r["taken"] for r in first} == {r["doc_id"]: r["taken"] for r in again}
@@ -164,6 +195,17 @@ def test_mix_is_near_its_targets_and_repeatable(spark):
     assert times == sorted(times)
 
 
+def test_mix_of_shared_ids_and_clashing_columns(spark):
+    """Rows that share a doc_id, or have none, are taken alike in any order of the rows, and columns named like the operator's own stay."""
+    rows = [(i % 3 if i % 4 else None, " ".join(["w"] * (i % 7 + 1)) + f" {i}", "en", f"s{i % 3}", i) for i in range(120)]
+    docs = spark.createDataFrame(rows, DDL).withColumn("mix_size", F.lit("clash")).withColumn("mix_note", F.col("n_chars"))
+    taken = lambda d: sorted(tuple(r) for r in mixing.plan(d).select("mix_row.text", F.size("mix_epochs")).collect())
+    assert taken(docs) == taken(docs.repartition(5).orderBy(F.desc("n_chars")))
+    out = mixing.mix(docs)
+    assert out.columns == [*docs.columns, "mix_epoch", "mix_finish"]
+    assert all(r["mix_size"] == "clash" and r["mix_note"] == r["n_chars"] for r in out.collect())
+
+
 # 4 near duplicates
 
 
@@ -264,8 +306,8 @@ def test_forests_of_blocks():
         assert len(forest) == 5 and all(a // 4 == b // 4 for a, b in forest)
         found = [p for b in neardup._compared(75, kind)(iter(pieces)) for p in zip(*b.to_pydict().values(), strict=True)]
         assert len(found) == 6 and found[-1] == (9, 0, 1) and all(a // 4 == b // 4 for _, a, b in found)
-    far = neardup.Sets(rows, 99)
-    assert far.margin(0, np.array([0, 1, 4])).tolist() == [len(sets[0]) * 0.01, -1, -1]
+    of = lambda a, b: (100 * len(np.intersect1d(a, b)) - 75 * len(np.union1d(a, b))) / 100
+    assert neardup.Sets(rows, 75).margin(0, np.array([1, 2, 4])).tolist() == [of(sets[0], sets[1]), of(sets[0], sets[2]), -1]
 
 
 # 5 main text
@@ -291,6 +333,14 @@ def test_region_without_semantic_tags(spark):
     assert all(r["text"] == f"{'word ' * 60}{r['page_id']}\nmore {r['page_id']}" for r in html_extract.extract(table).collect())
 
 
+def test_names_of_boilerplate_are_whole_in_the_main_text():
+    body = '<h2 class="section-header">Title</h2><p id="search-history">kept</p><p class="social-studies">lesson</p><math><mi>E</mi></math><div class="section-header">sub</div><p>end</p>'
+    junk = '<div class="related-posts">no</div><p class="notice">no</p><section class="comments">no</section><div class="cookie-banner">no</div><ul class="share-buttons"><li>no</ul>'
+    page = f'<html><body><div class="site-header">no</div><article>{body}{junk}</article><div class="page-footer">no</div></body></html>'
+    assert html_extract.main_text(page) == "Title\nkept\nlesson\nE\nsub\nend"
+    assert html_extract.main_text(page.replace("article", "div")) == "Title\nkept\nlesson\nE\nend"
+
+
 def test_copies_of_a_page_are_no_template(spark):
     page = "<html><body><div class=a><p>one text</p><p>two text</p></div><p>three</p></body></html>"
     rows = [(i, f"http://h.example/{i}", page) for i in range(20)] + [(100 + i, None, page) for i in range(9)]
@@ -368,6 +418,24 @@ def test_licenses_are_the_planted_lines(spark):
     assert want and {(r["doc_id"], r["license"]) for r in licenses.scan(docs).collect()} == want
 
 
+def test_licenses_by_gain_are_those_of_every_alignment(spark, monkeypatch):
+    """The ranking by compression leaves out no template whose wording the block has."""
+    texts = [r["text"] for r in common.read(spark, "/root/testdata/sf0.01", "documents").select("text").collect()]
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    got = [scanner.scan(t) for t in texts]
+    monkeypatch.setattr(licenses, "LEAST", -1e9)
+    assert sum(map(len, got)) > 30 and [sorted(x[0] for x in f) for f in got] == [sorted(x[0] for x in scanner.scan(t)) for t in texts]
+
+
+def test_licenses_with_a_further_clause():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    of = {name: [t for n, t in licenses.TEMPLATES if n == name][-1] for name in ("BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause")}
+    two = of["BSD-2-Clause"] + ":\n\n1. Redistributions of source code must retain the above copyright notice."
+    three = two + "\n\n3. " + of["BSD-3-Clause"].replace("the copyright holder", "Example Inc")
+    assert {x[0] for x in scanner.scan(two)} == {"BSD-2-Clause"} and {x[0] for x in scanner.scan(three)} == {"BSD-3-Clause"}
+    assert {x[0] for x in scanner.scan(three + "\n\n" + of["BSD-4-Clause"])} == {"BSD-4-Clause"}
+
+
 def test_licenses_short_notices_in_long_blocks():
     """A notice counts however little it saves of its block, and however many others stand there."""
     scanner, rng = licenses.Scanner(licenses.TEMPLATES), np.random.default_rng(8)
