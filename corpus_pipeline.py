@@ -1,7 +1,8 @@
 """A corpus pipeline of the llm operators: quality, near duplicates, decontamination, mixing, token files.
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns a DataFrame that is
-written as Parquet and read again as the next stage's docs. All stages but the last keep the columns of documents.
+written as Parquet and read again as the next stage's docs. All stages but the last keep the columns of documents, and
+further columns, however they are named. Rows with nulls, empty texts or repeated ids go through every stage; empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -16,16 +17,19 @@ from hornbeam.llm.queries import tokenizer_path
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted to the labels, does not reject."""
     model = quality.fit(docs, common.read(spark, sf_dir, "labels"))
-    return quality.score(docs, model).filter("predicted = 1").select(*docs.columns)
+    return quality.accepted(docs, model)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least doc_id, of each component of near duplicates. Of rows that share a doc_id the
     least stays; rows with a null doc_id all stay."""
     found = common.written(neardup.near_duplicates(docs), "one-of-each")
-    out = docs.join(found.filter(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti")
+    gone = common.written(found.filter(~F.col("kept")).select("doc_id").distinct(), "not-kept", True)
     repeated = found.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    repeated = common.written(repeated, "repeated-ids")
+    repeated = common.written(repeated, "repeated-ids", True)
+    common.drop(found)
+    # ids are sent to all executors if they are counted to be few; else texts are shuffled
+    out = docs.join(F.broadcast(gone) if gone.count() <= neardup.BROADCAST_IDS else gone, "doc_id", "left_anti")
     if not repeated.isEmpty():
         order = ["text", *[c for c in docs.columns if c != "text"]]
         least = out.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*order)).alias("row"))
@@ -34,8 +38,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
-    return decontam.clean(docs, common.read(spark, sf_dir, "benchmark")).select(*docs.columns)
+    """Documents that contain no benchmark item, each row judged by its own text."""
+    return decontam.clean(docs, common.read(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,12 +60,14 @@ STAGES = [
     ("token_files", token_files),
 ]
 
-#: SQL cannot express the classifier or the tokenizer; tests/llm compares run() with brute force.
+#: SQL cannot express the classifier or the tokenizer; tests/llm compares run() with a brute-force version of the stages after the classifier.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = common.written(stage(spark, docs, sf_dir), f"stage-{name}")
+        done, docs = docs, common.written(stage(spark, docs, sf_dir), f"stage-{name}")
+        common.drop(done)
+        common.release(spark)
     return docs
