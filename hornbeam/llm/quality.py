@@ -62,7 +62,8 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         out[:, FINE : FINE + COARSE**2] = np.bincount((block[:-1] * COARSE**2 + pair)[same], minlength=n * COARSE**2).reshape(n, -1) / length
         # of its 8-byte windows on a grid of word beginnings, those that the passage has had before
         begin = np.flatnonzero((coarse[1:] < 3) & ((coarse[:-1] == 3) | (coarse[:-1] == 4))) + 1
-        begin = begin[begin + 8 <= len(data)]
+        # within the text: what stands beside it says nothing of it
+        begin = begin[(text[begin] == text[begin - 1]) & (begin + 8 <= np.cumsum(sizes)[text[begin]])]
         if len(begin):
             window = np.zeros(len(begin), np.uint64)
             for i in range(8):

@@ -400,6 +400,13 @@ def test_quality_awkward(spark, docs):
     assert quality.score(docs.limit(0), model).count() == 0
 
 
+def test_quality_of_a_text_alone():
+    """A text is scored alike alone and among others."""
+    texts = [(r[1] or "").encode() for r in AWKWARD] + [b"one two three four", b" five six seven eight ", b"a"]
+    together, owner = quality.passages(texts)
+    assert all(np.array_equal(quality.passages([t])[0], together[owner == i]) for i, t in enumerate(texts))
+
+
 # 8 licenses
 
 
