@@ -34,7 +34,7 @@ class LinkPrediction:
         self.queries = queries(test)
         asked = engine.asked(self.queries.select("anchor", "side", "head_p").distinct())
         heads = F.broadcast(rules.select("rule_id", "head_p"))
-        adj = grounding.adjacency(train)
+        adj = grounding.adjacency(train, steps)
         requests = written(asked.join(heads, "head_p").select("rule_id", "side", "anchor"), "lp-requests")
         found = written(grounding.candidates(rules, steps, adj, lengths, n_steps, requests).join(heads, "rule_id"), "lp-candidates")
         self.candidates = engine.kept(found)

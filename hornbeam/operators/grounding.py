@@ -10,15 +10,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hornbeam.sources.shared import written
+
 #: Steps and rules are broadcast up to so many rows; beyond that the joins are left to the optimizer.
 BROADCAST_ROWS = 500_000
 
 
-def adjacency(triples: DataFrame) -> DataFrame:
-    """src, p, dir, dst: each distinct triple in both directions."""
-    t = triples.select("s", "p", "o").distinct()
-    forth = t.select(F.col("s").alias("src"), "p", F.lit("F").alias("dir"), F.col("o").alias("dst"))
-    return forth.unionByName(t.select(F.col("o").alias("src"), "p", F.lit("B").alias("dir"), F.col("s").alias("dst")))
+def adjacency(triples: DataFrame, steps: DataFrame | None = None) -> DataFrame:
+    """src, p, dir, dst: each distinct triple in both directions. steps: only those of the predicates that steps follow,
+    which are known before anything is read, so that scans are pruned; the result is a table, as each hop reads it anew."""
+    t = triples.select("s", "p", "o")
+    if steps is not None:
+        t = t.filter(F.col("p").isin([r[0] for r in steps.select("p").distinct().collect()]))
+    t = t.distinct()
+    both = F.explode(F.array(F.struct(F.col("s").alias("src"), F.lit("F").alias("dir"), F.col("o").alias("dst")), F.struct(F.col("o").alias("src"), F.lit("B").alias("dir"), F.col("s").alias("dst"))))
+    out = t.select("p", both.alias("x")).select("x.src", "p", "x.dir", "x.dst")
+    return out if steps is None else written(out, "adjacency")
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:

@@ -19,7 +19,7 @@ def top_rules(rules: DataFrame, percent: float, n: int) -> DataFrame:
 def predictions(rules: DataFrame, steps: DataFrame, graph: DataFrame, engine: semantic.Engine, lengths: list[int], n_steps: int) -> DataFrame:
     """rule_id, rule_rank, side, anchor, candidate, s, p, o: all that the rules predict, after the engine's checks."""
     chosen = steps.join(grounding.small(rules.select("rule_id"), n_steps), "rule_id", "left_semi")
-    found = grounding.candidates(rules, chosen, grounding.adjacency(graph), lengths, n_steps)
+    found = grounding.candidates(rules, chosen, grounding.adjacency(graph, chosen), lengths, n_steps)
     found = found.join(grounding.small(rules.select("rule_id", "head_p", "rule_rank"), n_steps), "rule_id")
     return ranking.as_facts(engine.kept(written(found, "predictions")))
 
@@ -37,11 +37,13 @@ def until_target(predicted: DataFrame, facts: DataFrame, target: int) -> DataFra
     first = predicted.groupBy("s", "p", "o").agg(F.min(place).alias("at")).join(facts.select("s", "p", "o").distinct(), ["s", "p", "o"], "left_anti")
     first = first.withColumn("rule_rank", F.col("at.rule_rank"))
     upto = first.groupBy("rule_rank").agg(F.count("*").alias("new")).withColumn("upto", F.sum("new").over(Window.orderBy("rule_rank")))
-    rows = first.join(F.broadcast(upto), "rule_rank")
-    whole = rows.filter(F.col("upto") <= target)
-    crossing = rows.filter((F.col("upto") > target) & (F.col("upto") - F.col("new") < target))
-    some = crossing.withColumn("nth", F.col("upto") - F.col("new") + F.row_number().over(Window.orderBy("at"))).filter(F.col("nth") <= target)
-    return whole.select("s", "p", "o", "rule_rank").unionByName(some.select("s", "p", "o", "rule_rank"))
+    upto = written(upto, "new-by-rule")  # a row for each rule
+    whole = first.join(F.broadcast(upto.filter(F.col("upto") <= target)), "rule_rank", "left_semi").select("s", "p", "o", "rule_rank")
+    crossing = upto.filter((F.col("upto") > target) & (F.col("upto") - F.col("new") < target)).first()
+    if crossing is None:
+        return whole
+    some = first.filter(F.col("rule_rank") == crossing["rule_rank"]).orderBy("at").limit(target - (crossing["upto"] - crossing["new"]))
+    return whole.unionByName(some.select("s", "p", "o", "rule_rank"))
 
 
 def stats(rules: DataFrame, predicted: DataFrame, new: DataFrame) -> DataFrame:

@@ -14,7 +14,6 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-_ATOM = re.compile(r"^(.+?)\((.+?),(.+?)\)$")
 RULE_DDL = "rule_id int, line_no long, kind string, head_p string, head_s string, head_o string, conf float, text string"
 STEP_DDL = "rule_id int, side string, step int, src int, p string, dir string, literal string, closes int, apart array<int>, n int, target int"
 
@@ -44,14 +43,23 @@ def variable(term: str) -> bool:
 
 
 def parse_atom(text: str) -> Atom | None:
-    m = _ATOM.match(text.strip())
-    return Atom(*(x.strip() for x in m.groups())) if m else None
+    """`p(s,o)`: the first bracket and the last, and the first comma between them, part the terms; these may hold more of each."""
+    p, bracket, terms = text.strip().partition("(")
+    first, comma, second = terms[:-1].partition(",")
+    found = Atom(*(x.strip() for x in (p, first, second)))
+    return found if bracket and comma and terms.endswith(")") and all((found.p, found.s, found.o)) else None
+
+
+def body_atoms(text: str) -> list[str]:
+    """The parts of a body, at each comma that white space follows."""
+    ends = [i for i, c in enumerate(text) if c == "," and text[i + 1 : i + 2].isspace()]
+    return [text[a + 1 : b] for a, b in zip([-1, *ends], [*ends, len(text)], strict=True)]
 
 
 def parse_rule(text: str, conf: float, rule_id: int = 0, line_no: int = 0, pattern: bool = False) -> Rule | None:
     """`head <= atom, atom`; None if it is malformed, has no body, or is a pattern with constants."""
     head, arrow, body = text.partition("<=")
-    atoms = [parse_atom(x) for x in re.split(r",\s+", body.strip())] if arrow and body.strip() else []
+    atoms = [parse_atom(x) for x in body_atoms(body.strip())] if arrow and body.strip() else []
     top = parse_atom(head)
     if top is None or not atoms or None in atoms:
         return None

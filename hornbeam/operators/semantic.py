@@ -33,15 +33,22 @@ def violates_range(pairs: DataFrame, schema: Schema) -> DataFrame:
     return type_conflicts(pairs.select(F.col("entity").alias("node"), "p"), schema.types, schema.range).withColumnRenamed("node", "entity")
 
 
+def _other_end(triples: DataFrame, graph: DataFrame, flagged: DataFrame, end: str, many: str) -> DataFrame:
+    """The rows of triples with a flagged p for which graph has another `many` at the same `end`. The least and the greatest
+    say so, and sums of these combine before the shuffle, however many rows an end has."""
+    ends = graph.join(flagged, "p", "left_semi").groupBy("p", end).agg(F.min(many).alias("low"), F.max(many).alias("high"))
+    found = triples.join(flagged, "p", "left_semi").join(ends, ["p", end])
+    return found.filter((F.col("low") != F.col(many)) | (F.col("high") != F.col(many))).select(triples.columns)
+
+
 def violates_functionality(triples: DataFrame, graph: DataFrame, schema: Schema) -> DataFrame:
     """The rows of triples (s, p, o) whose functional p has another object for s in graph."""
-    own = triples.join(schema.constraints.filter("functional").select("p"), "p", "left_semi").alias("x")
-    return own.join(graph.alias("g"), F.expr("x.s = g.s AND x.p = g.p AND x.o <> g.o"), "left_semi")
+    return _other_end(triples, graph, schema.constraints.filter("functional").select("p"), "s", "o")
 
 
 def violates_inverse_functionality(triples: DataFrame, graph: DataFrame, schema: Schema) -> DataFrame:
-    own = triples.join(schema.constraints.filter("inverse_functional").select("p"), "p", "left_semi").alias("x")
-    return own.join(graph.alias("g"), F.expr("x.o = g.o AND x.p = g.p AND x.s <> g.s"), "left_semi")
+    """The rows of triples whose inverse functional p has another subject for o in graph."""
+    return _other_end(triples, graph, schema.constraints.filter("inverse_functional").select("p"), "o", "s")
 
 
 def rejected_queries(queries: DataFrame, schema: Schema, graph: DataFrame) -> DataFrame:

@@ -81,9 +81,9 @@ def type_by_prefix(entity: Column, separator: str = "_") -> Column:
 
 
 def metaedge(edge: Column) -> Column:
-    """source, relation and target of `Source - relation - Target`."""
-    parts = F.split(edge, r"\s+-\s+")
-    return F.struct(F.get(parts, F.lit(0)).alias("source"), F.regexp_replace(F.get(parts, F.lit(1)), r"\s+", "_").alias("relation"), F.get(parts, F.lit(2)).alias("target"))
+    """source, relation and target, without spaces, of `Source - relation - Target` or, if directed, `Source > relation > Target`."""
+    parts = F.transform(F.when(edge.contains("-"), F.split(edge, " - ")).otherwise(F.split(edge, " > ")), lambda x: F.replace(x, F.lit(" "), F.lit("")))
+    return F.struct(F.get(parts, F.lit(0)).alias("source"), F.get(parts, F.lit(1)).alias("relation"), F.get(parts, F.lit(2)).alias("target"))
 
 
 def iri(name: Column, space: str) -> Column:

@@ -52,7 +52,7 @@ class Graph:
     def candidates(self, *heads: str) -> DataFrame:
         """rule_id, head_p, side, anchor, candidate of every rule with these heads over the train triples."""
         table, steps, lengths, n = self.some(*heads)
-        found = grounding.candidates(table, steps, grounding.adjacency(self.train), lengths, n)
+        found = grounding.candidates(table, steps, grounding.adjacency(self.train, steps), lengths, n)
         return found.join(F.broadcast(table.select("rule_id", "head_p")), "rule_id")
 
     def engine(self, name: str, graph: DataFrame) -> semantic.Engine:

@@ -190,7 +190,7 @@ def _(g: Graph) -> DataFrame:
 def _grounded(g: Graph, head: str, n: int, kind: str = "binary", side: str = "obj") -> DataFrame:
     chosen = [r for r in g.rule_list if r.head.p == head and len(r.body) == n and r.kind == kind]
     table, steps = rules.rule_table(g.spark, chosen), rules.step_table(g.spark, chosen)
-    return grounding.candidates(table, steps, grounding.adjacency(g.train), [n], n).filter(F.col("side") == side).select("anchor", "candidate")
+    return grounding.candidates(table, steps, grounding.adjacency(g.train, steps), [n], n).filter(F.col("side") == side).select("anchor", "candidate")
 
 
 @query("ground_path_1hop", "SELECT x AS anchor, y AS candidate FROM r8")

@@ -37,7 +37,8 @@ def load_sets(spark: SparkSession, plain: str | None, patterns: str | None) -> l
 def convert_amie(spark: SparkSession, path: str, out: str) -> int:
     """A miner's table to a rule file; returns how many rules it has."""
     rows = rules.amie_rows(r[0] for r in spark.read.text(path).toLocalIterator())
-    lines = [(i, f"{a:g}\t{b:g}\t{c}\t{t}") for i, (a, b, c, t) in enumerate(rows)]
+    whole = lambda x: str(int(x)) if x == int(x) else repr(x)
+    lines = [(i, f"{whole(a)}\t{whole(b)}\t{c}\t{t}") for i, (a, b, c, t) in enumerate(rows)]
     spark.createDataFrame(lines, "i int, value string").repartition(1).sortWithinPartitions("i").select("value").write.text(out)
     return len(rows)
 
