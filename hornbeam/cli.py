@@ -77,11 +77,13 @@ def violation_counts(spark: SparkSession, c: configs.Config, out: str) -> list[d
     """Counts for each file of the newest run under out."""
     tbox, schema = rdf.scan_rdf(spark, c.schema), _schema(spark, c)
     base = written(rdfs_closure(rdf.scan_rdf(spark, c.graph, tsv=True), tbox), "base")
-    rows = []
-    for path in sinks.latest_run(spark, out, c.dataset_name or None):
-        row = violations.counts(rdf.scan_ntriples(spark, path), base, schema).first().asDict()
-        rows.append({"file": path.rsplit("/", 1)[-1], **row})
-        sinks.logger().info("%s", rows[-1])
+    paths = sinks.latest_run(spark, out, c.dataset_name or None)
+    if not paths:
+        return []
+    counted = violations.counts_by_file(written(sinks.scan_outputs(spark, paths), "outputs"), base, schema).orderBy("file")
+    rows = [r.asDict() for r in counted.toLocalIterator()]  # a row for each file
+    for row in rows:
+        sinks.logger().info("%s", row)
     return rows
 
 

@@ -87,7 +87,8 @@ def metaedge(edge: Column) -> Column:
 
 
 def iri(name: Column, space: str) -> Column:
-    return F.concat(F.lit(space), F.regexp_replace(name, r"[^A-Za-z0-9_.:/-]", "_"))
+    """The name's last part after `::` in a name space."""
+    return F.concat(F.lit(space), F.substring_index(name, "::", -1))
 
 
 def flip(triples: DataFrame, inverse: dict[str, str]) -> DataFrame:

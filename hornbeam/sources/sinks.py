@@ -56,8 +56,8 @@ def latest_run(spark: SparkSession, folder: str, dataset: str | None = None) ->
     return outputs if outputs or not runs else latest_run(spark, runs[-1][1], dataset)
 
 
-def scan_outputs(spark: SparkSession, folder: str) -> DataFrame:
-    """s, p, o, file of all N-Triples outputs under a folder, in one job."""
+def scan_outputs(spark: SparkSession, folder: str | list[str]) -> DataFrame:
+    """s, p, o, file of all N-Triples outputs under a folder, or of those listed, in one job."""
     term = r"<([^>]*)>"
     rows = spark.read.option("recursiveFileLookup", True).text(folder).withColumn("path", F.input_file_name())
     rows = rows.select(*[F.regexp_extract("value", rf"^{term}\s+{term}\s+{term}", i).alias(c) for i, c in enumerate("spo", 1)], F.regexp_extract("path", r"([^/]+\.nt)(?:/|$)", 1).alias("file"))

@@ -3,10 +3,11 @@
 import duckdb
 import pytest
 
-from hornbeam.plans import lift, queries
+from hornbeam.plans import files, lift, queries
 
 SF = "/root/testdata/sf0.001"
-QUICK = ("scan_triples", "known_facts", "ground_path_2hop", "ground_pattern_triangle", "path_object_identity", "unary_start_nodes", "entity_types_closed", "disjoint_with_range", "materialize_standard", "materialize_until_target", "violations_func", "degree_filter", "inverse_functionality", "domain_satisfaction", "lp_metrics")
+QUICK = ("scan_triples", "known_facts", "ground_path_2hop", "ground_pattern_triangle", "path_object_identity", "unary_start_nodes", "entity_types_closed", "disjoint_with_range", "materialize_standard", "materialize_until_target", "violations_func", "degree_filter", "inverse_functionality", "domain_satisfaction", "lp_metrics",
+         "rule_scan", "rule_load", "amie_conversion", "ontology_scan", "prediction_log", "latest_run", "test_first_lines", "materialize_all_rules", "pattern_order", "violations_by_file", "domain_range_lookup", "tbox_builder", "named_entities", "metaedges", "property_axioms", "blank_and_system_classes", "rdfs_subproperties")
 
 
 @pytest.mark.parametrize("name", QUICK)
@@ -24,6 +25,7 @@ def test_query_is_its_sql(spark, name):
 
 
 def test_every_query_has_its_sql():
+    assert files
     assert set(queries.QUERIES) == set(queries.ORACLE)
 
 
