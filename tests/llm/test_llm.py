@@ -407,6 +407,31 @@ def test_quality_of_a_text_alone():
     assert all(np.array_equal(quality.passages([t])[0], together[owner == i]) for i, t in enumerate(texts))
 
 
+def test_top_k_bounds_hold_and_prune():
+    rng = np.random.default_rng(3)
+    vectors = np.floor(rng.normal(size=(3000, 48)) * 1024)
+    vectors[100:400] = vectors[100]  # a component without a range, ties
+    vectors[:, 7] = 5
+    file = topk.Approximation(vectors)
+    assert file.cells.dtype == np.uint8 and file.cells.nbytes * 8 == vectors.nbytes
+    part, lower, upper = file.bounds(vectors[:50])
+    scores = vectors[:50] @ vectors.T
+    assert (part + lower[:, None] <= scores).all() and (scores <= part + upper[:, None]).all()
+    best = np.sort(scores, 1)[:, -10]
+    assert ((part + upper[:, None]) >= best[:, None]).mean() < 0.2
+
+
+@pytest.mark.parametrize("size", [1.0, 1e5, 3e9])
+def test_top_k_scores_are_exact_integers(size):
+    """Whole numbers that a double cannot hold are summed as they are; what no long holds is its end."""
+    rng = np.random.default_rng(4)
+    vectors, ids = np.floor(rng.normal(size=(400, 8)) * 1024 * size), np.arange(400)
+    whole = [[int(x) for x in v] for v in vectors]
+    for own, best_ids, best in topk.search(ids, vectors, ids[:20], vectors[:20], 10):
+        want = sorted((-sum(a * b for a, b in zip(whole[own], v, strict=True)), i) for i, v in enumerate(whole) if i != own)[:10]
+        assert [(min(-s, 2**63 - 1), i) for s, i in want] == [(int(s), int(i)) for s, i in zip(best, best_ids, strict=True)]
+
+
 # 8 licenses
 
 
