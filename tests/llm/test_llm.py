@@ -500,6 +500,20 @@ def test_token_files_round_trip(spark, docs):
     assert token_io.encode_corpus(docs.limit(0), queries.tokenizer_path()).count() == 0
 
 
+def test_token_ids_of_joined_cuts_are_the_library():
+    """Cuts go to the library many at a time: their ids are those of whole texts, whatever stands at their ends."""
+    one, encoder, rng = tokenizer(), token_io.Encoder(queries.tokenizer_path()), np.random.default_rng(9)
+    parts = [" ", "  ", "\n", "\t", "a", "bc", "Hello", "'s", "1", "23", "é", "日本", "\u3000", "\xa0", "\x85", "\u2003", "\u0301", "\u200b", "\x00", ".", "!!", "--", "_", "<|", "<|endoftext|>", "|>", "x" * 50]
+    texts = ["".join(rng.choice(parts, rng.integers(1, 60))) for _ in range(3000)]
+    assert {c for c in map(chr, range(0x3001)) if c in token_io._WHITE} == {c for c in map(chr, range(0x3001)) if c.isspace() and c not in "\x1c\x1d\x1e\x1f"}
+    ids, lengths = encoder.encode(texts)
+    ends = np.cumsum(lengths)
+    assert all(ids[e - n : e].tolist() == [*one.encode(x, add_special_tokens=False).ids, 0] for x, n, e in zip(texts, lengths, ends, strict=True))
+    short = ["!", " a", "-b", " c!", "--", " d"]
+    got, sizes = encoder._encoded(short)
+    assert sizes.tolist() == [len(one.encode(x, add_special_tokens=False).ids) for x in short] and got.tolist() == [i for x in short for i in one.encode(x, add_special_tokens=False).ids]
+
+
 def test_token_counts_are_the_library(spark, docs, real):
     one = tokenizer()
     for table in (docs, real):
