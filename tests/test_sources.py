@@ -52,3 +52,11 @@ def test_configuration(tmp_path):
     c = config.load(str(tmp_path / "c.json"))
     assert c.train == "t" and c.engines() == ["semantic"] and list(c.rule_sets()) == ["ALL"]
     assert config.percentages("1, 5,10") == [1.0, 5.0, 10.0] and config.percentages(None, (1.0,)) == [1.0]
+
+
+def test_results_as_csv_and_markdown(spark, tmp_path):
+    rows = spark.createDataFrame([("ALL", 0.5, None), ("CP", 0.25, 3)], "name string, mrr double, n long")
+    text = sinks.write_results(rows, f"file://{tmp_path}/r.csv", f"file://{tmp_path}/r.md")
+    assert text.splitlines() == ["| name | mrr | n |", "|---|---|---|", "| ALL | 0.5000 |  |", "| CP | 0.2500 | 3 |"]
+    assert sorted(map(tuple, spark.read.option("header", True).csv(f"file://{tmp_path}/r.csv").collect())) == [("ALL", "0.5", None), ("CP", "0.25", "3")]
+    assert [r[0] for r in spark.read.text(f"file://{tmp_path}/r.md").collect()] == text.splitlines() + [""]
