@@ -4,8 +4,9 @@ Tokens of a page are its elements (by the path of tags and class names down to t
 words). A token's occurrence vector counts it on each page of its host. Tokens of one host with one vector form an
 equivalence class; classes of at least CLASS tokens on at least PAGES pages, and on at least half of the host's,
 are the template. They nest by path: a class whose tokens stand once on each page is the skeleton, the others repeat
-within it. What is not a template token fills slots. The main region is the skeleton's article (or main) element, or,
-where it has none, the deepest skeleton element with MOST of the host's slot text that is not boilerplate by name.
+within it. What is not a template token fills slots. The main region is the deepest skeleton element with MOST of the
+host's slot text that is not boilerplate by name. An article (or main) element around the region, or the one within it,
+is then taken whole; articles outside the region, and several that hold less than half of it, are not looked at.
 Outside an article element, texts of the template itself (on nearly all of at least CONSTANT pages) are no slots and are
 left out.
 
@@ -167,20 +168,46 @@ def tokens(page: str) -> tuple[Counter, Counter]:
     return count, chars
 
 
+def _meeting(seen: list, slots: list[Node], articles: list[Node]) -> list[Node]:
+    """The articles around the slots and those within them; these only if there is one, or they hold half of the slots' text."""
+    of = {id(x): "slot" for x in slots} | {id(x): "article" for x in articles}
+    both = {id(x) for x in slots} & {id(x) for x in articles}
+    above: list[Node] = []
+    around, within, total, held = {}, {}, 0, 0
+    for kind, node, raw in seen:
+        marks = {of.get(id(x)) for x in above} | ({"slot"} if any(id(x) in both for x in above) else set())
+        if kind == "open":
+            if of.get(id(node)) == "article" and ("slot" in marks or id(node) in both):
+                within[id(node)] = node
+            elif of.get(id(node)) == "slot":
+                around |= {id(x): x for x in above if of.get(id(x)) == "article"}
+            above.append(node)
+        elif kind == "close":
+            above.pop()
+        elif kind == "text" and "slot" in marks and not (node and node.skip):
+            total += len(raw.strip())
+            held += len(raw.strip()) if "article" in marks else 0
+    if len(within) > 1 and held * 2 < total:
+        within = {}
+    return list((around | within).values())
+
+
 def main_text(page: str | None, constant: frozenset[int] = frozenset(), region: int | None = None) -> str:
-    """constant: text tokens of the template; region: the element that holds the main text if none is an article."""
+    """constant: text tokens of the template; region: its element that holds the main text. The region decides: articles
+    outside it are not looked at. That no more and no less than an article is taken is checked after that."""
     if not page:
         return ""
     seen = list(events(page))
     opened = [node for kind, node, _ in seen if kind == "open"]
     strong = [x for x in opened if x.main and not x.skip]
     articles = [x for x in strong if x.tag == "article"] or strong
+    slots = [x for x in opened if not x.skip and _hash(x.path) == region and x.tag in BLOCK] if region is not None else []
+    if slots:
+        articles = _meeting(seen, slots, articles)
     if articles:
         roots, constant = {id(x) for x in articles}, frozenset()  # an article is whole, whatever its host repeats
-    elif region is not None and (found := [x for x in opened if not x.skip and _hash(x.path) == region and x.tag in BLOCK]):
-        roots = {id(x) for x in found}
     else:
-        roots = None
+        roots = {id(x) for x in slots} or None
     inside, blocks, block = 0 if roots else 1, [], []
 
     def end() -> None:

@@ -333,6 +333,17 @@ def test_region_without_semantic_tags(spark):
     assert all(r["text"] == f"{'word ' * 60}{r['page_id']}\nmore {r['page_id']}" for r in html_extract.extract(table).collect())
 
 
+def test_region_decides_against_article_tags(spark):
+    text = lambda n: f"<p>{f'word{n} ' * 80}</p><p>more {n}</p>"
+    page = lambda n: f"<html><body><div class=x>{text(n)}</div><div class=y><article>teaser {n}</article><article>other {n}</article></div></body></html>"
+    inner = lambda n: f"<html><body><div class=x><article><h1>T{n}</h1><div class=z>{text(n)}</div><p>last</p></article></div></body></html>"
+    rows = [(i, "http://a.example/", page(i)) for i in range(10)] + [(i, "http://b.example/", inner(i)) for i in range(10, 20)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    whole = lambda n: f"{' '.join([f'word{n}'] * 80)}\nmore {n}"
+    assert all(got[n] == whole(n) for n in range(10))
+    assert all(got[n] == f"T{n}\n{whole(n)}\nlast" for n in range(10, 20))
+
+
 def test_names_of_boilerplate_are_whole_in_the_main_text():
     body = '<h2 class="section-header">Title</h2><p id="search-history">kept</p><p class="social-studies">lesson</p><math><mi>E</mi></math><div class="section-header">sub</div><p>end</p>'
     junk = '<div class="related-posts">no</div><p class="notice">no</p><section class="comments">no</section><div class="cookie-banner">no</div><ul class="share-buttons"><li>no</ul>'
